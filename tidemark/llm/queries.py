@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, token_files
+from . import mixing, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": packing.query,
+    "op2_quality_rules": quality.query,
     "op9_token_files": token_files.query,
     "op10_source_mixing": mixing.query,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_quality_rules": quality.SQL,
     "op10_source_mixing": mixing.SQL,
 }
