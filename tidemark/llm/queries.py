@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, token_files
+from . import media, mixing, packing, quality, secrets, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.query,
     "op2_quality_rules": quality.query,
+    "op3_media_columns": media.query,
+    "op6_secret_scans": secrets.query,
     "op9_token_files": token_files.query,
     "op10_source_mixing": mixing.query,
 }
