@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, pii, quality, secrets, token_files
+from . import language, media, mixing, packing, pii, quality, secrets, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.query,
     "op2_quality_rules": quality.query,
     "op3_media_columns": media.query,
+    "op4_language_id": language.query,
     "op5_pii_spans": pii.query,
     "op6_secret_scans": secrets.query,
     "op9_token_files": token_files.query,
