@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, mixing, near_dedup, packing, pii, quality, secrets, token_files
+from . import language, line_dedup, media, mixing, near_dedup, packing, pii, quality, secrets, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii_spans": pii.query,
     "op6_secret_scans": secrets.query,
     "op7_near_dedup": near_dedup.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_token_files": token_files.query,
     "op10_source_mixing": mixing.query,
 }
@@ -23,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_quality_rules": quality.SQL,
     "op7_near_dedup": near_dedup.SQL,
+    "op8_line_dedup": line_dedup.SQL,
     "op10_source_mixing": mixing.SQL,
 }
