@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from array import array
 
-MOST_CACHED, LONGEST_CACHED = 500_000, 48
+MOST_CACHED, LONGEST_CACHED = 1_200_000, 48
 #: A space after anything that some Unicode version takes for a blank doesn't part the text.
 UNSURE = "\\s\x1c-\x1f\x85\xa0\u180e\u200b-\u200f\u2028\u2029\u2060\ufeff"
 #: Marks that make pieces of their own after a letter, and the first character after the letters of all Unicode versions.
@@ -33,6 +33,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.line_end = self._encode(["\n"])[0]
         # The vocabulary writes bytes that are no visible Latin-1 characters as those from U+0100 on, in order.
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.mark = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(seen))}
@@ -52,39 +53,57 @@ class Encoder:
         text = "\u0120" + word[1:] if word.isascii() and word[0] == " " else word.encode().decode("latin-1").translate(self.mark)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
 
-    def _learn(self, parts: set[str]) -> None:
-        """Put the ids of parts, each after a space, into the cache."""
-        cache, tails, rest = self.cache, self.tails, []
-        for part in parts:
-            core = part.rstrip(_MARKS)
-            if core.isalpha() and max(core) < _LATER:
-                ids = cache[core] if core in cache else self._word(" " + core)
-                if core is not part and len(core) < len(part):
-                    cache[core] = ids
-                    tail = part[len(core) :]
-                    if tail not in tails:
-                        tails[tail] = self._encode([tail])[0]
-                    ids += tails[tail]
-                cache[part] = ids
-            else:
-                rest.append(part)
-        cache.update(zip(rest, self._encode([" " + p for p in rest])))
+    def _simple(self, part: str, before: str) -> bytes | None:
+        """The ids of letters and marks after a space or a line end; None if it has anything else. before: what its key has."""
+        core = part.rstrip(_MARKS)
+        key = before + core
+        if key in self.cache:
+            ids = self.cache[key]
+        elif core.isalpha() and max(core) < _LATER:
+            ids = self.cache[key] = self._word(core if before else " " + core)
+        else:
+            return None
+        if len(core) < len(part):
+            tail = part[len(core) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._encode([tail])[0]
+            ids += self.tails[tail]
+        return ids
+
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts, each after a space; those of short ones go into the cache."""
+        cache, out, rest = self.cache, [], []
+        for at, part in enumerate(parts):
+            first, line_end, second = part.partition("\n")
+            ids = cache.get(part)
+            if ids is None and first and len(part) <= LONGEST_CACHED:
+                ids = self._simple(first, "")
+                if ids is not None and line_end:
+                    more = self._simple(second, "\n") if second else None
+                    ids = more and ids + self.line_end + more
+                if ids is not None:
+                    cache[part] = ids
+            if ids is None:
+                rest.append(at)
+            out.append(ids)
+        for at, ids in zip(rest, self._encode([" " + parts[at] for at in rest])):
+            out[at] = ids
+            if len(parts[at]) <= LONGEST_CACHED:
+                cache[parts[at]] = ids
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out, cache = [], self.cache
+        out = []
         for text in texts:
+            if len(self.cache) > MOST_CACHED:
+                self.cache = {}
             parts = _CUT.split(text) if _DOUBLE.search(text) else text.split(" ")
-            head = parts.pop(0)
-            head = self._encode([head])[0] if head else b""
-            new = set(parts).difference(cache)
-            here = {}
-            if new:
-                if len(cache) > MOST_CACHED:
-                    cache.clear()
-                    new = set(parts)
-                if long := {p for p in new if len(p) > LONGEST_CACHED}:
-                    new -= long
-                    here = dict(zip(long, self._encode([" " + p for p in long])))
-                self._learn(new)
-            out.append(head + b"".join([here[p] if p in here else cache[p] for p in parts] if here else map(cache.__getitem__, parts)))
+            head, parts[0] = parts[0], ""
+            known = list(map(self.cache.get, parts))
+            known[0] = self._encode([head])[0] if head else b""
+            if None in known:
+                new = [i for i, x in enumerate(known) if x is None]
+                for i, ids in zip(new, self._learn([parts[i] for i in new])):
+                    known[i] = ids
+            out.append(b"".join(known))
         return out
