@@ -25,7 +25,6 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 KEYS, ORDER = ["user_id"], ["seq"]
-W, WP = upto(KEYS, ORDER), prior(KEYS, ORDER)
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 #: The same derivations for Spark and for SQL; {prior} means a user's rows before this one.
@@ -58,12 +57,13 @@ def with_predictions(s: DataFrame) -> DataFrame:
 
 
 def nudge(digits: int) -> float:
-    """Added before rounding on both sides: values that lie halfway would go either way by the last bits of a sum."""
+    """Added before rounding on both sides: values that lie halfway would go either way by the last bits of a sum. (And 0.0 is added
+    after it, so that there is no -0.0.)"""
     return 3.1 * 10.0 ** -(digits + 3)
 
 
 def r(c: Column | str, digits: int = 4) -> Column:
-    return F.round((F.col(c) if isinstance(c, str) else c) + nudge(digits), digits)
+    return F.round((F.col(c) if isinstance(c, str) else c) + nudge(digits), digits) + F.lit(0.0)
 
 
 def nudged(sql: str) -> str:
@@ -77,17 +77,33 @@ def nudged(sql: str) -> str:
                 comma = i
             i += 1
         value, digits = sql[start + 6 : comma], int(sql[comma + 1 : i - 1])
-        out += f"{sql[at:start]}round(({nudged(value)}) + {nudge(digits):e}::DOUBLE, {digits})"
+        out += f"{sql[at:start]}(round(({nudged(value)}) + {nudge(digits):e}::DOUBLE, {digits}) + 0.0::DOUBLE)"
         at = i
     return out + sql[at:]
 
 
+def bind() -> None:
+    """Columns and frames that the queries below share; they can be made only once there is a session."""
+    global x, w, xm, y, t, p, yh, W, WP, level, bits, warm
+    x, w, xm, y, t, p, yh = (F.col(c) for c in ("x", "w", "xm", "y", "x", "pred", "yhat"))
+    W, WP = upto(KEYS, ORDER), prior(KEYS, ORDER)
+    level = F.when(x > 300, "Drift").when(x > 150, "Warning").otherwise("None")
+    bits = [(F.col("h") > 12).cast("double"), (F.col("k") > 50).cast("double")]
+    warm = B.warmup_state(F.col("n"), F.col("err"), F.lit(100.0), 5, 20)
+
+
 def add(name: str, query: Query, sql: str | None = None, view: str = STREAM) -> None:
-    QUERIES[name] = query
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bind()
+        return query(spark, sf_dir)
+
+    QUERIES[name] = run
     if sql is not None:
         ORACLE[name] = view + nudged(sql)
 
 
+x = w = xm = y = t = p = yh = W = WP = level = bits = warm = None
+
 OVER = "OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 BEFORE = "OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
@@ -96,40 +112,39 @@ def lasting(rows: int) -> str:
     return f"OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
 
 
-def by_row(name: str, c: Column | Callable[[], Column], sql: str, digits: int = 4, predicted: bool = False) -> None:
+def by_row(name: str, c: Callable[[], Column], sql: str, digits: int = 4, predicted: bool = False) -> None:
     """seq, user_id and the column's value on each row."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = stream(spark, sf_dir)
-        return (with_predictions(s) if predicted else s).select("seq", "user_id", r(c, digits).alias("value"))
+        return (with_predictions(s) if predicted else s).select("seq", "user_id", r(c(), digits).alias("value"))
 
     add(name, run, f"SELECT seq, user_id, round({sql}, {digits}) AS value FROM s")
 
 
-def by_user(name: str, c: Column, sql: str, digits: int = 4, predicted: bool = False) -> None:
+def by_user(name: str, c: Callable[[], Column], sql: str, digits: int = 4, predicted: bool = False) -> None:
     """user_id and the aggregate over all of the user's rows."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = stream(spark, sf_dir)
-        return (with_predictions(s) if predicted else s).groupBy("user_id").agg(r(c, digits).alias("value"))
+        return (with_predictions(s) if predicted else s).groupBy("user_id").agg(r(c(), digits).alias("value"))
 
     add(name, run, f"SELECT user_id, round({sql}, {digits}) AS value FROM s GROUP BY user_id")
 
 
-x, w, xm, y, t, p = (F.col(c) for c in ("x", "w", "xm", "y", "x", "pred"))
 
 # ---- statistics
 add("s01_count", lambda a, d: stream(a, d).select("seq", "user_id", S.count(W).alias("value")), f"SELECT seq, user_id, count(*) {OVER} AS value FROM s")
-by_row("s02_sum", S.total(x, W), f"sum(x) {OVER}")
-by_row("s03_mean", S.mean(x, W), f"avg(x) {OVER}")
-by_row("s04_variance", S.variance(x, W), f"var_samp(x) {OVER}")
-by_row("s04_variance_population", S.variance(x, W, True), f"var_pop(x) {OVER}")
-by_row("s05_std_dev", S.std_dev(x, W), f"stddev_samp(x) {OVER}")
-by_user("s06_ew_mean", S.ew_mean(F.col("seq"), x, 0.3), "list_reduce(list(x ORDER BY seq), lambda a, v: 0.3::DOUBLE * v + 0.7::DOUBLE * a)")
-by_row("s07_min", S.minimum(x, W), f"min(x) {OVER}")
-by_row("s08_max", S.maximum(x, W), f"max(x) {OVER}")
-by_row("s09_rolling_mean", S.mean(x, last(KEYS, ORDER, 20)), f"avg(x) {lasting(20)}")
-by_row("s10_rolling_variance", S.variance(x, last(KEYS, ORDER, 20)), f"var_samp(x) {lasting(20)}")
+by_row("s02_sum", lambda: S.total(x, W), f"sum(x) {OVER}")
+by_row("s03_mean", lambda: S.mean(x, W), f"avg(x) {OVER}")
+by_row("s04_variance", lambda: S.variance(x, W), f"var_samp(x) {OVER}")
+by_row("s04_variance_population", lambda: S.variance(x, W, True), f"var_pop(x) {OVER}")
+by_row("s05_std_dev", lambda: S.std_dev(x, W), f"stddev_samp(x) {OVER}")
+by_user("s06_ew_mean", lambda: S.ew_mean(F.col("seq"), x, 0.3), "list_reduce(list(x ORDER BY seq), lambda a, v: 0.3::DOUBLE * v + 0.7::DOUBLE * a)")
+by_row("s07_min", lambda: S.minimum(x, W), f"min(x) {OVER}")
+by_row("s08_max", lambda: S.maximum(x, W), f"max(x) {OVER}")
+by_row("s09_rolling_mean", lambda: S.mean(x, last(KEYS, ORDER, 20)), f"avg(x) {lasting(20)}")
+by_row("s10_rolling_variance", lambda: S.variance(x, last(KEYS, ORDER, 20)), f"var_samp(x) {lasting(20)}")
 add(
     "s13_rolling_median_mad",
     lambda a, d: S.with_median_mad(stream(a, d), "x", KEYS, ORDER, 20, 5).select("seq", r("median").alias("median"), r("mad").alias("mad")),
@@ -146,7 +161,7 @@ add(
     f"""SELECT seq, CASE WHEN n < 3 THEN 'InsufficientData' WHEN m = 0 THEN 'ZeroMad' ELSE 'Score' END AS z_status, CASE WHEN n >= 3 AND m <> 0 THEN round(0.6744897501960817::DOUBLE * (x - med) / m, 4) END AS value
 FROM (SELECT seq, x, count(*) {lasting(20)} AS n, median(x) {lasting(20)} AS med, mad(x) {lasting(20)} AS m FROM s)""",
 )
-by_row("s16_clipped_mean", S.clipped_mean(x, 50, 300, W), f"avg(greatest(least(x, 300), 50)) {OVER}")
+by_row("s16_clipped_mean", lambda: S.clipped_mean(x, 50, 300, W), f"avg(greatest(least(x, 300), 50)) {OVER}")
 
 
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,11 +175,11 @@ add(
     f"""SELECT seq, user_id, round(m, 4) AS roll_mean, round(sd, 4) AS roll_std, coalesce(n = 20 AND sd > 1e-9 AND abs(x - m) / sd > 2.5, false) AS anomaly
 FROM (SELECT seq, user_id, x, avg(x) {lasting(20)} AS m, stddev_samp(x) {lasting(20)} AS sd, count(*) {lasting(20)} AS n FROM s)""",
 )
-by_user("s18_weighted_mean", S.weighted_mean(x, w), "sum(x * w) / nullif(sum(w), 0)")
-by_user("s19_weighted_variance", S.weighted_variance(x, w), "greatest(sum(w * x * x) / nullif(sum(w), 0) - pow(sum(w * x) / nullif(sum(w), 0), 2), 0)", 3)
-by_user("s20_weighted_ew_mean", S.weighted_ew_mean(F.col("seq"), x, w, 0.3), "list_reduce(list({'x': x, 'w': w} ORDER BY seq) FILTER (w > 0), lambda a, v: {'x': (1 - pow(0.7::DOUBLE, v.w)) * v.x + pow(0.7::DOUBLE, v.w) * a.x, 'w': 1.0::DOUBLE}).x")
-by_user("s21_weighted_mae", S.weighted_mae(t, p, w), "sum(w * abs(x - pred)) / nullif(sum(w), 0)", predicted=True)
-by_user("s22_weighted_mse", S.weighted_mse(t, p, w), "sum(w * pow(x - pred, 2)) / nullif(sum(w), 0)", predicted=True)
+by_user("s18_weighted_mean", lambda: S.weighted_mean(x, w), "sum(x * w) / nullif(sum(w), 0)")
+by_user("s19_weighted_variance", lambda: S.weighted_variance(x, w), "greatest(sum(w * x * x) / nullif(sum(w), 0) - pow(sum(w * x) / nullif(sum(w), 0), 2), 0)", 3)
+by_user("s20_weighted_ew_mean", lambda: S.weighted_ew_mean(F.col("seq"), x, w, 0.3), "list_reduce(list({'x': x, 'w': w} ORDER BY seq) FILTER (w > 0), lambda a, v: {'x': (1 - pow(0.7::DOUBLE, v.w)) * v.x + pow(0.7::DOUBLE, v.w) * a.x, 'w': 1.0::DOUBLE}).x")
+by_user("s21_weighted_mae", lambda: S.weighted_mae(t, p, w), "sum(w * abs(x - pred)) / nullif(sum(w), 0)", predicted=True)
+by_user("s22_weighted_mse", lambda: S.weighted_mse(t, p, w), "sum(w * pow(x - pred, 2)) / nullif(sum(w), 0)", predicted=True)
 add(
     "s23_time_decayed_mean",
     lambda a, d: S.decayed_mean(stream(a, d), KEYS, "t", "x", 0.05).select("user_id", r("decayed_mean").alias("value")),
@@ -177,13 +192,13 @@ add(
 )
 
 # ---- preprocessing
-by_row("p01_standard_scaler", P.scaled(x, W), f"(x - avg(x) {OVER}) / CASE WHEN var_pop(x) {OVER} < 1e-12 THEN 1 ELSE sqrt(var_pop(x) {OVER}) END", 3)
-by_row("p01_standard_scaler_prior", P.scaled(x, WP), f"(x - coalesce(avg(x) {BEFORE}, 0)) / CASE WHEN coalesce(var_pop(x) {BEFORE}, 0) < 1e-12 THEN 1 ELSE sqrt(var_pop(x) {BEFORE}) END", 3)
-by_row("p02_min_max_scaler", P.min_max(x, W), f"CASE WHEN max(x) {OVER} = min(x) {OVER} THEN 0.5 ELSE (x - min(x) {OVER}) / (max(x) {OVER} - min(x) {OVER}) END")
-by_row("p03_clipper", C.clamp(x, 50, 300), "greatest(least(x, 300), 50)")
-by_row("p04_constant_imputer", C.constant_impute(xm, -1.0), "coalesce(xm, -1.0)")
-by_row("p05_mean_imputer", P.mean_imputed(xm, KEYS, ORDER), f"coalesce(xm, avg(xm) {BEFORE}, 0)")
-by_row("p06_forward_fill", P.forward_filled(xm, KEYS, ORDER), f"coalesce(last_value(xm IGNORE NULLS) {OVER}, 0)")
+by_row("p01_standard_scaler", lambda: P.scaled(x, W), f"(x - avg(x) {OVER}) / CASE WHEN var_pop(x) {OVER} < 1e-12 THEN 1 ELSE sqrt(var_pop(x) {OVER}) END", 3)
+by_row("p01_standard_scaler_prior", lambda: P.scaled(x, WP), f"(x - coalesce(avg(x) {BEFORE}, 0)) / CASE WHEN coalesce(var_pop(x) {BEFORE}, 0) < 1e-12 THEN 1 ELSE sqrt(var_pop(x) {BEFORE}) END", 3)
+by_row("p02_min_max_scaler", lambda: P.min_max(x, W), f"CASE WHEN max(x) {OVER} = min(x) {OVER} THEN 0.5 ELSE (x - min(x) {OVER}) / (max(x) {OVER} - min(x) {OVER}) END")
+by_row("p03_clipper", lambda: C.clamp(x, 50, 300), "greatest(least(x, 300), 50)")
+by_row("p04_constant_imputer", lambda: C.constant_impute(xm, -1.0), "coalesce(xm, -1.0)")
+by_row("p05_mean_imputer", lambda: P.mean_imputed(xm, KEYS, ORDER), f"coalesce(xm, avg(xm) {BEFORE}, 0)")
+by_row("p06_forward_fill", lambda: P.forward_filled(xm, KEYS, ORDER), f"coalesce(last_value(xm IGNORE NULLS) {OVER}, 0)")
 add(
     "p07_missing_indicator",
     lambda a, d: stream(a, d).select("seq", C.with_indicators(F.array("xm", "h")).alias("v")).select("seq", *(r(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(4))),
@@ -214,16 +229,16 @@ add("p12_feature_hasher", lambda a, d: named(stream(a, d)).select("seq", P.hashe
 add("p13_hashed_names", lambda a, d: named(stream(a, d)).select("seq", F.transform("features", lambda f: f["id"]).alias("ids")))
 
 # ---- losses and schedules
-by_row("l01_squared_error", C.squared_loss(p, t), "0.5 * (pred - x) * (pred - x)", predicted=True)
-by_row("l01_squared_gradient", C.squared_gradient(p, t), "pred - x", predicted=True)
-by_row("l02_huber", C.huber_loss(p, t, 20), "CASE WHEN abs(pred - x) <= 20 THEN 0.5 * (pred - x) * (pred - x) ELSE 20 * (abs(pred - x) - 10) END", predicted=True)
-by_row("l02_huber_gradient", C.huber_gradient(p, t, 20), "greatest(least(pred - x, 20), -20)", predicted=True)
-by_row("l03_log_loss", C.log_loss(F.col("prob"), y), "-CASE WHEN y THEN ln(greatest(least(prob, 1 - 1e-15), 1e-15)) ELSE ln(1 - greatest(least(prob, 1 - 1e-15), 1e-15)) END", predicted=True)
-by_row("l04_sigmoid", C.sigmoid((x - 250) / 50), "1 / (1 + exp(-(x - 250) / 50))", 8)
+by_row("l01_squared_error", lambda: C.squared_loss(p, t), "0.5 * (pred - x) * (pred - x)", predicted=True)
+by_row("l01_squared_gradient", lambda: C.squared_gradient(p, t), "pred - x", predicted=True)
+by_row("l02_huber", lambda: C.huber_loss(p, t, 20), "CASE WHEN abs(pred - x) <= 20 THEN 0.5 * (pred - x) * (pred - x) ELSE 20 * (abs(pred - x) - 10) END", predicted=True)
+by_row("l02_huber_gradient", lambda: C.huber_gradient(p, t, 20), "greatest(least(pred - x, 20), -20)", predicted=True)
+by_row("l03_log_loss", lambda: C.log_loss(F.col("prob"), y), "-CASE WHEN y THEN ln(greatest(least(prob, 1 - 1e-15), 1e-15)) ELSE ln(1 - greatest(least(prob, 1 - 1e-15), 1e-15)) END", predicted=True)
+by_row("l04_sigmoid", lambda: C.sigmoid((x - 250) / 50), "1 / (1 + exp(-(x - 250) / 50))", 8)
 
 # ---- models
-by_row("m01_mean_regressor", p, "pred", predicted=True)
-by_row("m02_last_value", F.col("pred2"), "pred2", predicted=True)
+by_row("m01_mean_regressor", lambda: p, "pred", predicted=True)
+by_row("m02_last_value", lambda: F.col("pred2"), "pred2", predicted=True)
 add(
     "m03_ew_regressor",
     lambda a, d: run_batch(stream(a, d).select("user_id", "seq", "x"), K.EwMean(0.3), KEYS, ORDER).select("seq", "user_id", r(F.coalesce(F.lag("ew").over(_line()), F.lit(0.0))).alias("value")),
@@ -252,7 +267,6 @@ add(
     + " FROM s) "
     + _nb_sql(f"{_gauss('x', 1)} + {_gauss('h', 1)} - {_gauss('x', 0)} - {_gauss('h', 0)}"),
 )
-bits = [(F.col("h") > 12).cast("double"), (F.col("k") > 50).cast("double")]
 _bern = lambda f, i: f"{f} * ln((c{f}{i} + 1) / (n{i} + 2)) + (1 - {f}) * ln(1 - (c{f}{i} + 1) / (n{i} + 2))"
 add(
     "m11_bernoulli_nb",
@@ -270,7 +284,7 @@ add(
     + " FROM s) "
     + _nb_sql(" + ".join(f"{sign} * ({f} * ln(({s}{i} + 1) / (a{i} + b{i} + 2)))" for i, sign in ((1, "1"), (0, "-1")) for f, s in (("h", "a"), ("k", "b")))),
 )
-by_row("m14_linear_score", C.linear_score(F.array(x, F.col("h")), F.array(F.lit(0.5), F.lit(-0.25)), 1.0), "1.0 + 0.5 * x - 0.25 * h")
+by_row("m14_linear_score", lambda: C.linear_score(F.array(x, F.col("h")), F.array(F.lit(0.5), F.lit(-0.25)), 1.0), "1.0 + 0.5 * x - 0.25 * h")
 
 
 def regression(s: DataFrame, *more: str) -> DataFrame:
@@ -326,8 +340,8 @@ add(
 folded("v01_scaled_pipeline", K.Linear(2, rate=0.1, scale=True), regression, pred_only)
 folded("v02_classification_pipeline", K.Linear(2, rate=0.1, loss="log", scale=True), labelled, pred_only)
 folded("v04_weighted_pipeline", K.Linear(2, rate=0.1, scale=True, weighted=True), lambda s: regression(s, "w"), pred_only)
-by_user("v05_progressive_regression", M.mae(t, p), "avg(abs(x - pred))", predicted=True)
-by_row("v06_progressive_steps", M.mae(t, p, W), f"avg(abs(x - pred)) {OVER}", predicted=True)
+by_user("v05_progressive_regression", lambda: M.mae(t, p), "avg(abs(x - pred))", predicted=True)
+by_row("v06_progressive_steps", lambda: M.mae(t, p, W), f"avg(abs(x - pred)) {OVER}", predicted=True)
 add(
     "v07_progressive_classification",
     lambda a, d: stream(a, d).select("seq", "user_id", "y", M.gaussian_nb([x], y, WP).alias("q")).groupBy("user_id").agg(r(M.accuracy(y, F.col("q") >= 0.5)).alias("value")),
@@ -338,24 +352,23 @@ add(
 )
 
 # ---- metrics
-by_user("e01_mae", M.mae(t, p), "avg(abs(x - pred))", predicted=True)
-by_user("e02_mse", M.mse(t, p), "avg(pow(x - pred, 2))", predicted=True)
-by_user("e03_rmse", M.rmse(t, p), "sqrt(avg(pow(x - pred, 2)))", predicted=True)
-by_user("e04_r2", M.r2(t, p), "CASE WHEN count(x) >= 2 AND var_pop(x) > 0 THEN 1 - sum(pow(x - pred, 2)) / (var_pop(x) * count(x)) END", predicted=True)
-yh = F.col("yhat")
-by_user("e05_accuracy", M.accuracy(y, yh), "avg(CASE WHEN y = yhat THEN 1.0 ELSE 0.0 END)", predicted=True)
-by_user("e06_precision", M.precision(y, yh), "sum(CASE WHEN y AND yhat THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN yhat THEN 1.0 ELSE 0 END), 0)", predicted=True)
-by_user("e07_recall", M.recall(y, yh), "sum(CASE WHEN y AND yhat THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN y THEN 1.0 ELSE 0 END), 0)", predicted=True)
-by_user("e08_f1", M.f1(y, yh), "sum(CASE WHEN y AND yhat THEN 2.0 ELSE 0 END) / nullif(sum(CASE WHEN y THEN 1.0 ELSE 0 END + CASE WHEN yhat THEN 1.0 ELSE 0 END), 0)", predicted=True)
-by_user("e09_log_loss", M.mean_log_loss(y, F.col("prob")), "avg(-CASE WHEN y THEN ln(greatest(least(prob, 1 - 1e-15), 1e-15)) ELSE ln(1 - greatest(least(prob, 1 - 1e-15), 1e-15)) END)", predicted=True)
-by_row("e10_rolling_mae", M.mae(t, p, last(KEYS, ORDER, 20)), f"avg(abs(x - pred)) {lasting(20)}", predicted=True)
-by_row("e11_rolling_mse", M.mse(t, p, last(KEYS, ORDER, 20)), f"avg(pow(x - pred, 2)) {lasting(20)}", predicted=True)
-by_row("e12_rolling_accuracy", M.accuracy(y, yh, last(KEYS, ORDER, 20)), f"avg(CASE WHEN y = yhat THEN 1.0 ELSE 0.0 END) {lasting(20)}", predicted=True)
+by_user("e01_mae", lambda: M.mae(t, p), "avg(abs(x - pred))", predicted=True)
+by_user("e02_mse", lambda: M.mse(t, p), "avg(pow(x - pred, 2))", predicted=True)
+by_user("e03_rmse", lambda: M.rmse(t, p), "sqrt(avg(pow(x - pred, 2)))", predicted=True)
+by_user("e04_r2", lambda: M.r2(t, p), "CASE WHEN count(x) >= 2 AND var_pop(x) > 0 THEN 1 - sum(pow(x - pred, 2)) / (var_pop(x) * count(x)) END", predicted=True)
+by_user("e05_accuracy", lambda: M.accuracy(y, yh), "avg(CASE WHEN y = yhat THEN 1.0 ELSE 0.0 END)", predicted=True)
+by_user("e06_precision", lambda: M.precision(y, yh), "sum(CASE WHEN y AND yhat THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN yhat THEN 1.0 ELSE 0 END), 0)", predicted=True)
+by_user("e07_recall", lambda: M.recall(y, yh), "sum(CASE WHEN y AND yhat THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN y THEN 1.0 ELSE 0 END), 0)", predicted=True)
+by_user("e08_f1", lambda: M.f1(y, yh), "sum(CASE WHEN y AND yhat THEN 2.0 ELSE 0 END) / nullif(sum(CASE WHEN y THEN 1.0 ELSE 0 END + CASE WHEN yhat THEN 1.0 ELSE 0 END), 0)", predicted=True)
+by_user("e09_log_loss", lambda: M.mean_log_loss(y, F.col("prob")), "avg(-CASE WHEN y THEN ln(greatest(least(prob, 1 - 1e-15), 1e-15)) ELSE ln(1 - greatest(least(prob, 1 - 1e-15), 1e-15)) END)", predicted=True)
+by_row("e10_rolling_mae", lambda: M.mae(t, p, last(KEYS, ORDER, 20)), f"avg(abs(x - pred)) {lasting(20)}", predicted=True)
+by_row("e11_rolling_mse", lambda: M.mse(t, p, last(KEYS, ORDER, 20)), f"avg(pow(x - pred, 2)) {lasting(20)}", predicted=True)
+by_row("e12_rolling_accuracy", lambda: M.accuracy(y, yh, last(KEYS, ORDER, 20)), f"avg(CASE WHEN y = yhat THEN 1.0 ELSE 0.0 END) {lasting(20)}", predicted=True)
 
 # ---- quantiles
 folded("s11_p2_quantile", K.P2((0.5,)), lambda s: s.select("user_id", "seq", "x"), lambda o: o.select("seq", "user_id", r(F.get("estimates", F.lit(0))).alias("value")))
 folded("s12_p2_quantiles", K.P2((0.1, 0.5, 0.9)), lambda s: s.select("user_id", "seq", "x"), lambda o: o.select("seq", "user_id", *(r(F.get("estimates", F.lit(i))).alias(f"q{i}") for i in range(3))))
-by_user("a05_exact_quantile", F.percentile("x", F.lit(0.9)), "quantile_cont(x, 0.9)")
+by_user("a05_exact_quantile", lambda: F.percentile("x", F.lit(0.9)), "quantile_cont(x, 0.9)")
 add(
     "a06_median_mad",
     lambda a, d: (lambda s: s.join(s.groupBy("user_id").agg(F.percentile("x", F.lit(0.5)).alias("m")), "user_id").groupBy("user_id").agg(r(F.first("m")).alias("median"), r(F.percentile(F.abs(F.col("x") - F.col("m")), F.lit(0.5))).alias("mad")))(stream(a, d)),
@@ -383,7 +396,6 @@ add("r03_kswin", lambda a, d: kswin(a, d).select("user_id", "wid", "level"), _KS
 add("r04_ks_statistic", lambda a, d: kswin(a, d).select("user_id", "wid", r("d", 6).alias("d")), _KS + "SELECT user_id, wid, round(CAST(d AS DOUBLE), 6) AS d FROM g")
 add("r05_ks_p_value", lambda a, d: kswin(a, d).select("user_id", "wid", r("p_value", 6).alias("p_value")), _KS + "SELECT user_id, wid, round(pv, 6) AS p_value FROM g")
 _LEVEL = "CASE WHEN x > 300 THEN 'Drift' WHEN x > 150 THEN 'Warning' ELSE 'None' END"
-level = F.when(x > 300, "Drift").when(x > 150, "Warning").otherwise("None")
 add("r06_level_change", lambda a, d: stream(a, d).select("seq", level.alias("level"), D.is_change(level).alias("changed")), f"SELECT seq, {_LEVEL} AS level, x > 150 AS changed FROM s")
 votes = lambda s: s.select("user_id", "t", "event_type", F.lit(True).alias("available"), level.alias("level"), "x", "seq")
 add(
@@ -565,7 +577,6 @@ add(
     _REC,
 )
 _STATE = "CASE WHEN i < 5 THEN 'WarmingUp' WHEN err > 200 THEN 'Degraded' WHEN i >= 20 AND err <= 100 THEN 'Stable' ELSE 'Usable' END"
-warm = B.warmup_state(F.col("n"), F.col("err"), F.lit(100.0), 5, 20)
 add("d05_warmup", lambda a, d: errors(a, d).select("seq", warm.alias("state")), _EWREC + f"SELECT seq, {_STATE} AS state FROM r", _REC)
 add(
     "d06_training_summary",
@@ -594,4 +605,4 @@ add(
     lambda a, d: stream(a, d).filter("xm IS NOT NULL").agg(r(F.sum(F.col("xm") / 500), 3).alias("reward"), r(F.sum("reward"), 3).alias("baseline"), F.count(F.lit(1)).alias("n")),
     "SELECT round(sum(xm / 500), 3) AS reward, round(sum(reward), 3) AS baseline, count(*) AS n FROM s WHERE xm IS NOT NULL",
 )
-by_row("a07_modified_z", 0.6744897501960817 * (x - 100) / 25, "0.6744897501960817::DOUBLE * (x - 100) / 25")
+by_row("a07_modified_z", lambda: 0.6744897501960817 * (x - 100) / 25, "0.6744897501960817::DOUBLE * (x - 100) / 25")
