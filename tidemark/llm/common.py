@@ -84,6 +84,14 @@ def plain(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.col(n).cast(kinds[n]).alias(n) for n in names))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK_RUN), lambda w: w != "")

@@ -227,13 +227,14 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """docs with the texts of the lines that stay."""
-    gone = line_table(docs).filter("NOT kept").groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_of")
+    of, lines = common.free(docs, "of"), common.free(docs, "gone")
+    gone = line_table(docs).filter("NOT kept").groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("line").alias(lines))
     gone = common.stored(gone, "lines-gone")
     side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST // 20 else gone
     at = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    rest = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest).alias("text")
-    return docs.join(side, at == F.col("_of"), "left").select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    rest = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(F.col(lines), i)), "\n")
+    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(rest).alias("text")
+    return docs.join(side, at == F.col(of), "left").select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ decoding the sample tables alone: codec, time scale, duration, and the byte rang
 the media data. read_payload() follows the same tables to get the samples back.
 
 Null texts count as empty; a payload is padded with bytes 0 to a positive multiple of 64. Equal texts give equal containers. A
-column that holds no container, or a damaged one, has null features and an error. Further columns are kept by describe_media().
+column that holds no container, or a damaged one, has null features and an error. Further columns are kept by
+describe_media(), but for those named as its own, which give way.
 An empty table gives an empty table.
 """
 
@@ -212,11 +213,9 @@ def describe_media(df: DataFrame, media: str = "media") -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    rest = [f for f in df.schema if f.name != media]
     own = StructType.fromDDL("codec string, timescale bigint, duration double, samples bigint, keyframes array<struct<offset:bigint,length:bigint>>, error string")
-    clash = {f.name for f in rest} & {f.name for f in own}
-    if clash:
-        raise ValueError(f"columns named {sorted(clash)} would be hidden")
+    df = df.drop(*own.names)
+    rest = [f for f in df.schema if f.name != media]
     schema = StructType([*rest, *own])
     arrow = to_arrow_schema(schema)
 

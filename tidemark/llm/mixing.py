@@ -50,30 +50,29 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS) -> Data
     return per.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
-def with_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 10, copies: str = "copies") -> DataFrame:
-    """docs with _size, _source_size, _target and the number of copies that the mix takes of each row."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    targets = source_targets(docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), weights)
-    targets = common.stored(targets, "mix-targets")
-    side = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
+def with_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 10) -> DataFrame:
+    """row (a row of docs), size, source_size, target and copies: how often the mix takes the row."""
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    targets = common.stored(source_targets(docs.select(source.alias("source"), word_count(text).alias("size")), weights), "mix-targets")
+    side = targets.withColumnRenamed("source", "of")
     if targets.count() <= MOST_BROADCAST:
         side = F.broadcast(side)
-    joined = sized.join(side, F.col("source").cast("string").eqNullSafe(F.col("_source")), "left")
     draw = common.share(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    whole = F.floor("_rate")
-    return joined.withColumn(copies, (whole + F.when(draw < F.col("_rate") - whole, 1).otherwise(0)).cast("int"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), source.alias("from"), word_count(text).alias("size"), draw.alias("draw"))
+    whole = F.floor("rate")
+    copies = (whole + F.when(F.col("draw") < F.col("rate") - whole, 1).otherwise(0)).cast("int")
+    return rows.join(side, F.col("from").eqNullSafe(F.col("of")), "left").select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 10) -> DataFrame:
     """The mixed corpus: each row of docs as often as it is taken, with the columns of docs."""
-    taken = with_copies(docs, weights, seed, "_copies").filter("_copies > 0")
-    return taken.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    taken = with_copies(docs, weights, seed).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = common.plain(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source")
-    taken = with_copies(docs)
-    return taken.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("copies")).alias("taken"))
+    taken = with_copies(common.plain(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source"))
+    return taken.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 #: The level by repeated sharing in a recursive query, as the contract words it.

@@ -6,7 +6,7 @@ edges and before it) score it for each kind; dynamic programming over the tokens
 leaving tokens out. Weights maximise the conditional likelihood of sentences made by rule with a fixed seed, so that they depend
 on no corpus. What it finds beside the base spans is added.
 
-Null texts count as empty and have no spans. Equal texts get equal spans. Further columns are kept by find_spans(). An empty
+Null texts count as empty and have no spans. Equal texts get equal spans. Further columns are kept by find_spans(), but for one named spans, which gives way. An empty
 table gives an empty table. Offsets are code points, ends exclusive. Work for a text is linear in its length.
 """
 
@@ -362,9 +362,8 @@ def find_spans(docs: DataFrame, text: str = "text", weights: dict | None = None)
     """docs without its text, with its spans."""
     common.small_batches(common.session(docs))
     weights = trained() if weights is None else weights
+    docs = docs.drop("spans")
     rest = [f for f in docs.schema if f.name != text]
-    if any(f.name == "spans" for f in rest):
-        raise ValueError("a column named spans would be hidden")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"spans {SPANS}"])
 
     def found(texts: list[str]) -> dict:

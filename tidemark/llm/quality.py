@@ -115,11 +115,12 @@ def first_rejection(text: Column, rules: list[Rule]) -> Column:
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with the base counts, base_failed and kept."""
-    ordered = [r for r, _, _ in order(common.plain(docs, "doc_id", "text"), rules)]
+    """doc_id, the base counts, base_failed and kept of docs(doc_id, text)."""
+    docs = common.plain(docs, "doc_id", "text")
+    ordered = [r for r, _, _ in order(docs, rules)]
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     c = counts(F.col("text"))
-    out = docs.select("*", *(c[n].alias(f"_{n}") for n in names))
+    out = docs.select("doc_id", "text", *(c[n].alias(f"_{n}") for n in names))
     known = c | {n: F.col(f"_{n}") for n in names}
     base = F.lit(False)
     for rule in BASE:
@@ -127,7 +128,8 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     verdict = F.lit(True)
     for rule in reversed([r for r in ordered if r not in BASE]):
         verdict = F.when(rule.rejects(known), False).otherwise(verdict)
-    return out.withColumn("_base_failed", base).withColumn("_kept", F.when(F.col("_base_failed"), False).otherwise(verdict))
+    out = out.withColumn("base_failed", base)
+    return out.select("doc_id", *(F.col(f"_{n}").alias(n) for n in names), "base_failed", F.when(F.col("base_failed"), False).otherwise(verdict).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -137,9 +139,7 @@ def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFr
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = common.plain(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judged(docs).select("doc_id", *(F.col(f"_{n}").alias(n) for n in names))
+    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL = r"""

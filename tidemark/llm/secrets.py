@@ -5,7 +5,7 @@ was scanned; a scan looks only at blobs that it lacks for the rule version at ha
 hold it, and appends what it finds. Findings are then joined back to all paths by content address.
 
 Null texts count as empty blobs. Rows with equal paths each get their row. An empty table gives an empty table and scans nothing.
-Further columns of the versions are kept by scan(). Offsets are code points, ends exclusive. A blob that very many paths hold is
+Further columns of the versions are kept by scan(), but for those named as its own, which give way. Offsets are code points, ends exclusive. A blob that very many paths hold is
 moved once for each input partition, and its paths are dealt out by Spark's skew join.
 """
 
@@ -79,7 +79,7 @@ def address(text: Column) -> Column:
 def scan(versions: DataFrame, ledger: Ledger, rule_version: str = RULE_VERSION, text: str = "text") -> DataFrame:
     """versions without its text, with blob and findings; blobs that the ledger lacked are scanned and appended to it."""
     common.small_batches(common.session(versions))
-    addressed = versions.withColumn("blob", address(F.col(text)))
+    addressed = versions.drop("blob", "findings").withColumn("blob", address(F.col(text)))
     unseen = addressed.select("blob", F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["blob"])
     unseen = unseen.join(ledger.known(rule_version).select("blob"), "blob", "left_anti")
 
