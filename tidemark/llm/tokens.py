@@ -8,13 +8,14 @@ has to encode only those that a worker has not seen yet.
 from __future__ import annotations
 
 import re
+import string
 from array import array
 
 MOST_CACHED, LONGEST_CACHED = 1_200_000, 48
 #: A space after anything that some Unicode version takes for a blank doesn't part the text.
 UNSURE = "\\s\x1c-\x1f\x85\xa0\u180e\u200b-\u200f\u2028\u2029\u2060\ufeff"
 #: Marks that make pieces of their own after a letter, and the first character after the letters of all Unicode versions.
-_MARKS, _LATER = ".,;:!?", "\u0180"
+_MARKS, _LATER = string.punctuation, "\u0180"
 _DOUBLE, _CUT = re.compile(f"[{UNSURE}] "), re.compile(f"(?<![{UNSURE}]) ")
 
 
@@ -55,6 +56,8 @@ class Encoder:
 
     def _simple(self, part: str, before: str) -> bytes | None:
         """The ids of letters and marks after a space or a line end; None if it has anything else. before: what its key has."""
+        if len(part) > LONGEST_CACHED:
+            return None
         core = part.rstrip(_MARKS)
         key = before + core
         if key in self.cache:
@@ -100,7 +103,7 @@ class Encoder:
             parts = _CUT.split(text) if _DOUBLE.search(text) else text.split(" ")
             head, parts[0] = parts[0], ""
             known = list(map(self.cache.get, parts))
-            known[0] = self._encode([head])[0] if head else b""
+            known[0] = (self._simple(head, "\n") or self._encode([head])[0]) if head else b""
             if None in known:
                 new = [i for i, x in enumerate(known) if x is None]
                 for i, ids in zip(new, self._learn([parts[i] for i in new])):
