@@ -19,6 +19,8 @@ from .operators import stats as S
 from .operators import steps as K
 from .operators.fold import run_batch
 from .plans.frames import last, prior, upto
+from .sources import snapshots as N
+from .streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,8 +40,10 @@ s AS (SELECT *, coalesce(avg(x) OVER (PARTITION BY user_id ORDER BY seq ROWS BET
 """
 
 
-def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def stream(spark: SparkSession, sf_dir: str, live: bool = False) -> DataFrame:
+    """The events of a data folder, as a table or (live) as a file stream."""
+    at = f"{sf_dir}/events.parquet"
+    e = streams.file_stream(spark, at, 100) if live else spark.read.parquet(at)
     arm = F.coalesce(*(F.when(F.col("event_type") == t, i) for i, t in enumerate(EVENT_TYPES[:-1])), F.lit(4))
     x = F.col("value")
     s = e.select(
@@ -93,6 +97,8 @@ def bind() -> None:
 
 
 def add(name: str, query: Query, sql: str | None = None, view: str = STREAM) -> None:
+    """Register a query, and its SQL with the shared view before it."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bind()
         return query(spark, sf_dir)
@@ -351,6 +357,27 @@ add(
     + " SELECT user_id, round(avg(CASE WHEN y = (q >= 0.5) THEN 1.0 ELSE 0.0 END), 4) AS value FROM q GROUP BY user_id",
 )
 
+
+
+class Careful(K.Linear):
+    """Learns on a copy of the state, which is kept only if the whole step succeeds."""
+
+    fragile = True
+
+
+folded("v03_transactional_learning", Careful(2, rate=0.1, scale=True), regression, pred_only)
+
+
+def live_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of the SGD queries over a file stream, run to its end."""
+    at = streams.shared_path(spark, "live")
+    rows = streams.progressive(one(stream(spark, sf_dir, live=True)), K.Linear(1, rate=0.1, l2=0.01), KEYS, ORDER)
+    return pred_only(streams.drain(rows, f"{at}/check", f"{at}/out"))
+
+
+add("v08_stream_regression", live_regression)
+ORACLE["v08_stream_regression"] = ORACLE["o01_sgd"]
+
 # ---- metrics
 by_user("e01_mae", lambda: M.mae(t, p), "avg(abs(x - pred))", predicted=True)
 by_user("e02_mse", lambda: M.mse(t, p), "avg(pow(x - pred, 2))", predicted=True)
@@ -606,3 +633,11 @@ add(
     "SELECT round(sum(xm / 500), 3) AS reward, round(sum(reward), 3) AS baseline, count(*) AS n FROM s WHERE xm IS NOT NULL",
 )
 by_row("a07_modified_z", lambda: 0.6744897501960817 * (x - 100) / 25, "0.6744897501960817::DOUBLE * (x - 100) / 25")
+
+# ---- snapshots and schemas
+add(
+    "u06_inspect_snapshots",
+    lambda a, d: N.inspect(N.snapshots(stream(a, d).select(F.array("x", "h").alias("weights")))).withColumns({"lo": r("lo"), "hi": r("hi")}),
+    "SELECT 1 AS version, 2 AS n_weights, round(least(x, h), 4) AS lo, round(greatest(x, h), 4) AS hi FROM s",
+)
+add("u07_feature_constraint", lambda a, d: stream(a, d).select("seq", N.Feature("x", lo=10.0, hi=400.0).holds(F.col("x")).alias("holds")), "SELECT seq, x BETWEEN 10 AND 400 AS holds FROM s")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -13,15 +14,27 @@ from ..operators.fold import Step, run_stream
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share; one of our own only where spark.checkpoint.dir is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keyed states go to RocksDB, so that they needn't fit in memory."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """New Parquet files at path as a stream; the schema is that of the files there."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """New Parquet files at path (a folder, or one file) as a stream; the schema is that of the files there."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isFile():
+        return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return reader.parquet(path)
 
 
 def progressive(rows: DataFrame, step: Step, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
