@@ -6,11 +6,12 @@ XOR tells how many samples differ. Documents with equal sets form one class. Cla
 sketches drop those that are far from the threshold (so far that chance can't have put a link there), and full sets, made again
 from the texts, confirm the rest.
 
-Only components are asked for, so not all pairs in a bucket are: first each member is held against its bucket's least member;
-then, in buckets whose members are still in several components, members of different components are held against each other, in
-blocks of BLOCK members, and only pairs that pass the sketches leave the join. No bucket, class or component is gathered in a task.
+Only components are asked for, so not all pairs in a bucket are: first each member is held against its bucket's least member,
+then, a few times, against some member of another component, drawn anew for each bucket; most groups are in one component by then.
+Members of buckets that still have several are held against those of the other components, in blocks of BLOCK members, and only
+pairs that pass the sketches leave the join. No bucket, class or component is gathered in a task.
 
-Chance of missing a link at the threshold itself: 5e-6 by the bands ((1 - 0.75^4)^32), 1e-8 by the sketches (over five standard
+Chance of missing a link at the threshold itself: 5e-6 by the bands ((1 - 0.75^4)^32), 3e-7 by the sketches (five standard
 deviations); less above it. Shingles are compared by 64-bit hashes.
 
 Null, empty and blank texts have empty sets and are linked with nothing. Texts of fewer than five words have one shingle. Repeated
@@ -33,10 +34,12 @@ from .components import components
 
 SHINGLE, PERMUTATIONS, BANDS, ROWS = 5, 128, 32, 4
 #: A sketch has 64 times so many bits; a pair whose estimate is below LEAST_ESTIMATE isn't confirmed.
-SKETCH_WORDS, LEAST_ESTIMATE = 8, 0.45
+SKETCH_WORDS, LEAST_ESTIMATE = 8, 0.5
 #: Linked are sets with 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
 BLOCK = 1024
+#: How often members are held against single others of their bucket, before those still apart are held against each other.
+TURNS = 4
 #: Ids are sent to all executors up to so many (16 MB); beyond it the texts are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -163,38 +166,62 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """key, id, n and component of the members of buckets that have members of several components."""
+    label = F.coalesce("component", "id")
+    placed = common.stored(members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", label.alias("component")), "placed")
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return common.stored(placed.join(split, "key"), "open-members")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs(doc_id, text)."""
     signed = common.stored(signatures(docs), "signatures")
     classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = common.stored(classes, "classes")
-    sketches = classes.select("id", "sketch")
+    sketches = classes.select("id", "sketch", "bands")
     members = classes.select("id", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = common.stored(members.join(buckets, "key"), "members")
     close = lambda x, y: flipped(x, y) <= most_flipped()
 
-    stars = members.filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    stars = stars.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-    links = confirmed(stars.filter(close(F.col("x"), F.col("y"))).select("a", "b"), docs)
-    found = components(links)
+    sketch = lambda id_, name: sketches.select(F.col("id").alias(id_), F.col("sketch").alias(name))
+    links = found = tested = None
+    for turn in range(TURNS):
+        # Each member against one of its bucket: the least at first, then, where several components are left, any of another one.
+        if turn:
+            placed = _open(members, found)
+            if not placed.limit(1).count():
+                break
+            order = F.xxhash64("id", "key", F.lit(turn))
+            lead = placed.groupBy("key").agg(F.min_by(F.struct("id", "component"), order).alias("lead"))
+            pairs = placed.join(lead, "key").filter(F.col("component") != F.col("lead.component")).select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b"))
+            pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
+        else:
+            pairs = members.filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+        pairs = common.stored(pairs, "tested")
+        near = pairs.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").filter(close(F.col("x"), F.col("y"))).select("a", "b")
+        more = confirmed(near, docs)
+        links = more if links is None else links.unionByName(more)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if turn == 0 or more.limit(1).count():
+            found = components(links)
+    else:
+        # What is left: members of different components of a bucket, all against all, in blocks.
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        open_ = _open(members, found).join(sketches, "id")
+        open_ = common.stored(open_.select("key", "id", "component", "sketch", "bands", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own")), "open")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        left = open_.select("key", F.col("own").alias("i"), other.alias("j"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("x"), F.col("bands").alias("p"))
+        right = open_.select("key", other.alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("y"), F.col("bands").alias("q"))
+        apart = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("x"), F.col("y"))
+        once = F.array_min(F.array_intersect("p", "q")) == left.key  # a pair meets in each bucket that it shares
+        met = left.join(right, (left.key == right.key) & (left.i == right.i) & (left.j == right.j) & F.when(apart, once).otherwise(False))
+        more = confirmed(met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), docs)
+        if more.limit(1).count():
+            found = components(links.unionByName(more))
 
-    # Members of buckets that are still in several components, in blocks.
     label = F.coalesce("component", "id")
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", label.alias("component"))
-    placed = common.stored(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    open_ = placed.join(split, "key").join(sketches, "id")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = common.stored(open_.select("key", "id", "component", "sketch", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own")), "open")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = open_.select("key", F.col("own").alias("i"), other.alias("j"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("x"))
-    right = open_.select("key", other.alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("y"))
-    met = left.join(right, (left.key == right.key) & (left.i == right.i) & (left.j == right.j) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("x"), F.col("y")))
-    more = confirmed(met.select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), docs)
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
-
     of_class = classes.select("set_hash", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("set_hash", label.alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
     alone = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id"))
@@ -207,12 +234,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     gone = common.stored(found.filter("component_id IS NULL OR component_id <> doc_id").select("doc_id").distinct(), "gone")
     again = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     again = common.stored(again, "again")
+    key = common.free(docs, "key")
     fits = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
     at = F.col("doc_id").cast("bigint")
-    rest = docs.join(fits(gone.withColumnRenamed("doc_id", "_gone")), at == F.col("_gone"), "left_anti")
+    rest = docs.join(fits(gone.withColumnRenamed("doc_id", key)), at == F.col(key), "left_anti")
     if again.limit(1).count():
-        side = fits(again.withColumnRenamed("doc_id", "_again"))
-        rest = rest.join(side, at == F.col("_again"), "left_anti").unionByName(rest.join(side, at == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+        side = fits(again.withColumnRenamed("doc_id", key))
+        rest = rest.join(side, at == F.col(key), "left_anti").unionByName(rest.join(side, at == F.col(key), "left_semi").dropDuplicates(["doc_id"]))
     return rest
 
 
