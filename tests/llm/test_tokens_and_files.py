@@ -19,6 +19,21 @@ def test_encoder_is_the_library():
             assert list(np.frombuffer(ids, "<u4")) == e.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def in_each_order(texts):
+    import itertools
+
+    for order in itertools.permutations(texts):
+        e = Encoder(fx.vocabulary())
+        for text in order:
+            assert list(np.frombuffer(e.ids([text])[0], "<u4")) == e.tokenizer.encode(text, add_special_tokens=False).ids, (order, text)
+        for text, ids in zip(order, Encoder(fx.vocabulary()).ids(list(order))):
+            assert list(np.frombuffer(ids, "<u4")) == e.tokenizer.encode(text, add_special_tokens=False).ids, (order, text)
+
+
+def test_a_line_that_starts_after_a_blank_keeps_it_whatever_was_cached_before():
+    in_each_order(["The a", "x \nThe b", "y\nThe c"])
+
+
 def expected(rows, end):
     from tokenizers import Tokenizer
 

@@ -32,7 +32,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # of parts and words after a space
+        self.heads: dict[str, bytes] = {}  # of words without one: a text's first, and those after a line end
         self.tails: dict[str, bytes] = {}
         self.line_end = self._encode(["\n"])[0]
         # The vocabulary writes bytes that are no visible Latin-1 characters as those from U+0100 on, in order.
@@ -54,18 +55,17 @@ class Encoder:
         text = "\u0120" + word[1:] if word.isascii() and word[0] == " " else word.encode().decode("latin-1").translate(self.mark)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
 
-    def _simple(self, part: str, before: str) -> bytes | None:
-        """The ids of letters and marks after a space or a line end; None if it has anything else. before: what its key has."""
+    def _simple(self, part: str, space: str) -> bytes | None:
+        """The ids of letters and marks after a space (or nothing, as space says); None if it has anything else."""
         if len(part) > LONGEST_CACHED:
             return None
         core = part.rstrip(_MARKS)
-        key = before + core
-        if key in self.cache:
-            ids = self.cache[key]
-        elif core.isalpha() and max(core) < _LATER:
-            ids = self.cache[key] = self._word(core if before else " " + core)
-        else:
-            return None
+        words = self.cache if space else self.heads
+        ids = words.get(core)
+        if ids is None:
+            if not core.isalpha() or max(core) >= _LATER:
+                return None
+            ids = words[core] = self._word(space + core)
         if len(core) < len(part):
             tail = part[len(core) :]
             if tail not in self.tails:
@@ -80,9 +80,9 @@ class Encoder:
             first, line_end, second = part.partition("\n")
             ids = cache.get(part)
             if ids is None and first and len(part) <= LONGEST_CACHED:
-                ids = self._simple(first, "")
+                ids = self._simple(first, " ")
                 if ids is not None and line_end:
-                    more = self._simple(second, "\n") if second else None
+                    more = self._simple(second, "") if second else None
                     ids = more and ids + self.line_end + more
                 if ids is not None:
                     cache[part] = ids
@@ -98,12 +98,12 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if len(self.cache) > MOST_CACHED:
-                self.cache = {}
+            if len(self.cache) + len(self.heads) > MOST_CACHED:
+                self.cache, self.heads = {}, {}
             parts = _CUT.split(text) if _DOUBLE.search(text) else text.split(" ")
             head, parts[0] = parts[0], ""
             known = list(map(self.cache.get, parts))
-            known[0] = (self._simple(head, "\n") or self._encode([head])[0]) if head else b""
+            known[0] = (self._simple(head, "") or self._encode([head])[0]) if head else b""
             if None in known:
                 new = [i for i, x in enumerate(known) if x is None]
                 for i, ids in zip(new, self._learn([parts[i] for i in new])):
