@@ -126,6 +126,20 @@ def test_base_spans_are_the_patterns():
         assert pii.base_spans(t) == plain_pii(t)
 
 
+def test_field_sees_entities_behind_long_runs_without_a_space():
+    weights = pii.trained()
+    entities = ["123-45-6789", "(212) 555-0187", "jane.doe (at) mail (dot) com", "jane.doe[at]mail[dot]com"]
+    for entity in entities:
+        for lead in ["a,b;" * 15, "日本語、" * 15, "x/" * 40 + "\n", "é" * 90 + ",", "one\n" * 20, '{"k":"' + "v" * 60 + '","n":"']:
+            text = f"{lead}{entity} next"
+            toks = pii.tokens(text, 0, len(text))
+            whole = [(kind, toks[i][0], toks[j - 1][1]) for i, j, kind in pii.best(weights, len(toks), pii.candidates(text, toks))]
+            assert pii.field_spans(text, weights) == whole and whole, (lead, entity)
+    assert pii.field_spans("a,b;" * 15 + "123-45-6789 next", weights) == [("national_id", 60, 71)]
+    name = "n" * 50
+    assert pii.field_spans(f"mail {name} (at) ab (dot) com", weights) == [("email", 5, 5 + len(f"{name} (at) ab (dot) com"))]
+
+
 def test_field_on_sentences_it_has_not_seen():
     weights, r = pii.trained(), random.Random(99)
     hit = wrong = missed = 0

@@ -81,6 +81,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
 _ANCHOR = re.compile(r"[0-9@]+|[\[(] ?at ?[\])]", re.IGNORECASE)
 _WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(] ?at ?[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]+)+", re.IGNORECASE)
+_SPACE, _LETTERS = re.compile(r"\s"), re.compile(r"[^\W\d_]*")
 _NUMBER = re.compile(r"[+(]?[0-9][0-9 ().+/:-]*")
 #: Words before an entity that tell of its kind, or of none.
 CUES = {
@@ -329,18 +330,31 @@ def trained(sentences: int = 700, epochs: int = 5, rate: float = 0.2, decay: flo
     return dict(weights)
 
 
+def _lead(text: str, start: int) -> int:
+    """Where the region of an anchor begins: at the first blank AROUND it, or as far back as an entity with the anchor can reach."""
+    lo = max(0, start - AROUND)
+    if not lo:
+        return 0
+    # A blank right before the anchor may be inside an entity.
+    if m := _SPACE.search(text, lo, start - 1):
+        return m.start()
+    far = max(0, start - MOST_CHARS)
+    if blanks := [m.start() for m in _SPACE.finditer(text, far, lo)]:
+        return blanks[-1]
+    return _LETTERS.match(text, far, start).end() if far and text[far - 1].isalpha() else far  # no part of a longer token
+
+
 def field_spans(text: str, weights: dict) -> list[tuple[str, int, int]]:
     """The field's entities: the text around anchors in regions that end at blanks, each decoded on its own."""
     regions: list[list[int]] = []
     for m in _ANCHOR.finditer(text):
-        lo, hi = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if regions and lo <= regions[-1][1]:
+        near, hi = m.start() - AROUND, min(len(text), m.end() + AROUND)
+        if regions and (near <= regions[-1][1] or _lead(text, m.start()) <= regions[-1][1]):
             regions[-1][1] = hi
         else:
-            regions.append([lo, hi])
+            regions.append([_lead(text, m.start()), hi])
     out = []
     for lo, hi in regions:
-        lo = max(lo, text.find(" ", lo, hi)) if lo else 0
         toks = tokens(text, lo, hi)
         out += [(kind, toks[i][0], toks[j - 1][1]) for i, j, kind in best(weights, len(toks), candidates(text, toks))]
     return out
