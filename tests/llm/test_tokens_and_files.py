@@ -34,6 +34,12 @@ def test_a_line_that_starts_after_a_blank_keeps_it_whatever_was_cached_before():
     in_each_order(["The a", "x \nThe b", "y\nThe c"])
 
 
+def test_marks_after_anything_but_letters_are_not_cut_off():
+    in_each_order(["a ", "b --", "b -- c"])
+    for core in ["say…", "a—", "x®", "é”", "…", "12"]:
+        in_each_order([f"a {core} b", *(f"c {core}{mark} d" for mark in '".,)'[:3]), f"{core}) e"])
+
+
 def expected(rows, end):
     from tokenizers import Tokenizer
 

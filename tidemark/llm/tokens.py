@@ -60,11 +60,11 @@ class Encoder:
         if len(part) > LONGEST_CACHED:
             return None
         core = part.rstrip(_MARKS)
+        if not core.isalpha() or not core.isascii() and max(core) >= _LATER:
+            return None
         words = self.cache if space else self.heads
         ids = words.get(core)
         if ids is None:
-            if not core.isalpha() or max(core) >= _LATER:
-                return None
             ids = words[core] = self._word(space + core)
         if len(core) < len(part):
             tail = part[len(core) :]
