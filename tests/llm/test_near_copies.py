@@ -124,3 +124,23 @@ def test_dropped_lines_leave_the_rest(spark):
     odd = fx.odd(spark)
     assert line_dedup.drop_lines(odd).count() == odd.count()
     assert line_dedup.drop_lines(fx.empty(spark)).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_own_lines_and_texts(spark):
+    r = random.Random(10)
+    line = lambda: fx.words(r, 12, 10**6)
+    same, own = line(), [line() for _ in range(9)]
+    rows = [(None, f"{own[0]}\n{own[1]}", "en", "a"), (None, f"{own[2]}\n{same}", "en", "a"), (None, f"{own[3]}\n{same}", "en", "b"), (7, f"{own[4]}\n{own[5]}", "en", "a"), (7, f"{own[6]}\n{own[6]}", "en", "a"), (7, None, "en", "c")]
+    texts = sorted(x.text or "" for x in line_dedup.drop_lines(fx.table(spark, rows)).collect())
+    first = min((1, 2), key=lambda i: (own[i + 1] + "\n" + same) not in texts)
+    last = own[4 - first]
+    assert texts == sorted([rows[0][1], rows[first][1], last, rows[3][1], own[6], ""])
+
+    copy, other, third = line(), line(), line()
+    rows = [(3, copy, "en", "a"), (5, copy, "en", "a"), (5, other, "en", "a"), (5, third, "en", "b"), (5, third, "en", "c"), (9, other, "en", "a"), (5, None, "en", "a"), (None, other, "en", "a")]
+    docs = fx.table(spark, rows)
+    left = near_dedup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and left.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted((x.doc_id or 0, x.text or "") for x in left.collect()) == sorted([(3, copy), (5, other), (5, third), (5, ""), (0, other)])
+    found = sorted((x.doc_id or 0, x.component_id or 0, x.n_shingles) for x in near_dedup.near_duplicates(docs).collect())
+    assert found == sorted([(3, 3, 8), (5, 3, 8), (5, 5, 8), (5, 5, 8), (5, 5, 8), (9, 5, 8), (5, 5, 0), (0, 0, 8)])

@@ -8,8 +8,8 @@ lines whose sketches differ in more bits leave the join at once, without loss. W
 edit distance. Links are transitive; of each class of lines the first occurrence, by doc_id and line number, stays.
 
 Lines are compared without the blanks around them; lines without a word are left alone. Equal lines are found by 64-bit hashes.
-Null texts have no lines and stay null. Rows with equal doc_id and line number count as one occurrence. Null doc_ids come first.
-An empty table gives an empty table. A text all of whose lines go becomes empty, its row stays. Further columns are kept by
+Null texts have no lines and stay null. Null doc_ids come first. In line_table(), rows with equal doc_id and line number count as
+one occurrence; drop_lines() tells rows of one doc_id (or of none) apart by their texts. An empty table gives an empty table. A text all of whose lines go becomes empty, its row stays. Further columns are kept by
 drop_lines().
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -198,43 +198,55 @@ def near_lines(docs: DataFrame) -> DataFrame:
     return common.stored(both.select("a", "b", "s", "t").mapInArrow(check, "a bigint, b bigint"), "line-links")
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id (NO_ID for null), line (from 0), id, and near and kept, of each line with a word of docs(doc_id, text)."""
+def _row_hash() -> Column:
+    """What tells the rows of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def line_table(docs: DataFrame, by_row: bool = False) -> DataFrame:
+    """doc_id (NO_ID for null), line (from 0), id, and near and kept, of each line with a word of docs(doc_id, text).
+
+    by_row: with a further column, row, the hash of the text, so that rows that share a doc_id are rows of their own.
+    """
     common.small_batches(common.session(docs))
-    docs = common.plain(docs, "doc_id", "text")
+    row = [_row_hash().alias("row")] if by_row else []
+    key = ["doc_id", "row"] if by_row else ["doc_id"]
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *row, F.col("text").cast("string").alias("text"))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list = [[], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for of, text in enumerate(batch.column("text").to_pylist()):
                 for at, line in enumerate((text or "").split("\n")):
                     if line := line.strip(common.BLANKS):
-                        out[0].append(NO_ID if doc_id is None else doc_id)
+                        out[0].append(of)
                         out[1].append(at)
                         out[2].append(line_id(line))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], names=["doc_id", "line", "id"])
+            of = pa.array(out[0], pa.int64())
+            keys = [batch.column(k).fill_null(NO_ID).take(of) for k in key]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], names=[*key, "line", "id"])
 
-    found = docs.mapInArrow(occurrences, "doc_id bigint, line int, id bigint")
+    found = docs.mapInArrow(occurrences, ", ".join([*(f"{k} bigint" for k in key), "line int, id bigint"]))
     found = common.stored(found, "line-occurrences")
     classes = components(near_lines(docs))
-    first = found.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    first = found.groupBy("id").agg(F.min(F.struct(*key, "line")).alias("first"))
     first = common.stored(first.join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("class"), "first"), "line-firsts")
     of_class = first.groupBy("class").agg(F.min("first").alias("class_first"))
     first = first.join(of_class, "class").select("id", "class_first", (F.col("first") != F.col("class_first")).alias("near"))
-    at = F.struct("doc_id", "line")
-    return found.join(first, "id").select("doc_id", "line", "id", "near", (at == F.col("class_first")).alias("kept"))
+    at = F.struct(*key, "line")
+    return found.join(first, "id").select(*key, "line", "id", "near", (at == F.col("class_first")).alias("kept"))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """docs with the texts of the lines that stay."""
-    of, lines = common.free(docs, "of"), common.free(docs, "gone")
-    gone = line_table(docs).filter("NOT kept").groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("line").alias(lines))
+    of, row, lines = (common.free(docs, name) for name in ("of", "row_of", "gone"))
+    gone = line_table(docs, by_row=True).filter("NOT kept").groupBy(F.col("doc_id").alias(of), F.col("row").alias(row)).agg(F.collect_set("line").alias(lines))
     gone = common.stored(gone, "lines-gone")
     side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST // 20 else gone
     at = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     rest = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(F.col(lines), i)), "\n")
     text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(rest).alias("text")
-    return docs.join(side, at == F.col(of), "left").select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return docs.join(side, (at == F.col(of)) & (_row_hash() == F.col(row)), "left").select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

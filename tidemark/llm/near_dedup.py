@@ -174,8 +174,41 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
     return common.stored(placed.join(split, "key"), "open-members")
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Where rows of one doc_id differ in text: docs with a doc_id of its own for each such text, in the order of the old ones, and
+    the table of own and was, the old ones. None if there are no such rows. Null doc_ids stay."""
+    of, row, own = (common.free(docs, name) for name in ("of", "row_of", "own"))
+    at, text = F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string"))
+    shared = docs.select(at.alias(of)).filter(F.col(of).isNotNull()).groupBy(of).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not shared.limit(1).count():
+        return None
+    rows = docs.select(at.alias(of), text.alias(row)).filter(F.col(of).isNotNull()).distinct()
+    # Numbers grow along the sorted partitions.
+    ids = common.stored(rows.orderBy(of, row).withColumn(own, F.monotonically_increasing_id()), "own-ids")
+    side = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    out = docs.join(side, (at == F.col(of)) & (text == F.col(row)), "left")
+    out = common.stored(out.select(*((F.col(own).alias(c) if c == "doc_id" else F.col(f"`{c}`")) for c in docs.columns)), "own-rows")
+    return out, ids.select(F.col(own).alias("own"), F.col(of).alias("was"))
+
+
+def _renamed(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """df with the old doc_ids for those that _numbered() gave, in a column."""
+    own, was = (common.free(df, name) for name in ("own", "was"))
+    ids = ids.select(F.col("own").alias(own), F.col("was").alias(was))
+    out = df.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, F.col(column) == F.col(own), "left")
+    return out.select(*((F.col(was).cast(df.schema[c].dataType).alias(c) if c == column else F.col(f"`{c}`")) for c in df.columns))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs(doc_id, text)."""
+    docs = common.plain(docs, "doc_id", "text")
+    if numbered := _numbered(docs):
+        return _renamed(_renamed(_near_duplicates(numbered[0]), numbered[1], "doc_id"), numbered[1], "component_id")
+    return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
+    """near_duplicates() of docs in which rows of one doc_id have one text."""
     signed = common.stored(signatures(docs), "signatures")
     classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = common.stored(classes, "classes")
@@ -230,7 +263,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component the document with the least doc_id, once; all with empty sets."""
-    found = common.stored(near_duplicates(docs), "components")
+    if numbered := _numbered(docs):
+        kind = docs.schema["doc_id"].dataType
+        kept = _renamed(_drop_near_duplicates(numbered[0]), numbered[1], "doc_id")
+        return kept.withColumn("doc_id", F.col("doc_id").cast(kind))
+    return _drop_near_duplicates(docs)
+
+
+def _drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """drop_near_duplicates() of docs in which rows of one doc_id have one text."""
+    found = common.stored(_near_duplicates(docs), "components")
     gone = common.stored(found.filter("component_id IS NULL OR component_id <> doc_id").select("doc_id").distinct(), "gone")
     again = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     again = common.stored(again, "again")
