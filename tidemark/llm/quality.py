@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a condition that rejects a text. A bounded sample shows what share of texts each rule rejects and how much work it
-takes (characters read and values hashed, by the text's own length), and the rules run in the order of rejections per work: a
+Each rule is a condition that rejects a text. A bounded sample shows what share of texts each rule rejects; its work is a
+constant for each character, not measured. The rules run in the order of rejections per work: a
 row that one rule rejects is not looked at by the later ones. The order changes the time, never the verdict, which is that no
 rule rejects.
 
@@ -21,7 +21,7 @@ from . import common
 
 #: Words in a window, the least number of words, and the largest share (in %) of words in repeated windows.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: A bounded sample for costs and rejections: about so many rows, by a hash of doc_id.
+#: A bounded sample for rejections: about so many rows, by a hash of doc_id.
 SAMPLE_ROWS = 2_000
 SYMBOLS = "[#*$%&|<>]"
 
