@@ -40,11 +40,22 @@ def test_marks_after_anything_but_letters_are_not_cut_off():
         in_each_order([f"a {core} b", *(f"c {core}{mark} d" for mark in '".,)'[:3]), f"{core}) e"])
 
 
+def test_a_shared_cache_never_changes_what_the_library_gives():
+    import random
+
+    from tokenizers import Tokenizer
+
+    r, e, library = random.Random(1), Encoder(fx.vocabulary()), Tokenizer.from_file(fx.vocabulary())
+    kinds = ["foo", "bar", "The", "a", "é", "say…", "x®", "12", "日本", "don't", "it's", "'", "'s", "...", "--", "!", ")", "_", "<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", "\xa0", "\u200b", "\x1c", "\u3000", "ſ", "ª", "İ", "😀", "ƀ", "\x85", "\r\n", "#"]
+    texts = ["".join(r.choice(kinds) for _ in range(r.randint(0, 9))) for _ in range(20_000)]
+    for text, ids in zip(texts, e.ids(texts)):
+        assert list(np.frombuffer(ids, "<u4")) == library.encode(text, add_special_tokens=False).ids, text
+
+
 def expected(rows, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(fx.vocabulary())
-    t.encode_special_tokens = True
     return [(i, np.array(t.encode(x or "", add_special_tokens=False).ids + [end], "<u4")) for i, x, *_ in rows]
 
 

@@ -31,7 +31,7 @@ SCHEMA = "part int, doc_id bigint, start_in_part bigint, n_tokens int, ids array
 
 def parquet_options(encoding: str = "dictionary") -> dict[str, str]:
     """Writer options: row group and page sizes, and dictionary or delta encoding of the ids."""
-    own = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": 2000, "compression": "zstd"}
+    own = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": 2000, "compression": "zstd", "parquet.compression.codec.zstd.level": 1}
     if encoding == "dictionary":
         own |= {"parquet.enable.dictionary": "true", "parquet.dictionary.page.size": DICTIONARY_BYTES}
     elif encoding == "delta":

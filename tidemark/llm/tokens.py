@@ -14,13 +14,17 @@ from array import array
 MOST_CACHED, LONGEST_CACHED = 1_200_000, 48
 #: A space after anything that some Unicode version takes for a blank doesn't part the text.
 UNSURE = "\\s\x1c-\x1f\x85\xa0\u180e\u200b-\u200f\u2028\u2029\u2060\ufeff"
-#: Marks that make pieces of their own after a letter, and the first character after the letters of all Unicode versions.
-_MARKS, _LATER = string.punctuation, "\u0180"
 _DOUBLE, _CUT = re.compile(f"[{UNSURE}] "), re.compile(f"(?<![{UNSURE}]) ")
+#: A space after each ASCII character of UNSURE.
+_ASCII_DOUBLE = [f"{c} " for c in " \n\r\t\x0b\x0c\x1c\x1d\x1e\x1f"]
+#: Letters that all Unicode versions take for such, and marks that make pieces of their own after a letter.
+_LETTERS, _MARKS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", re.escape(string.punctuation)
+#: A word and marks, and perhaps another word and marks on the next line.
+_SIMPLE = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)(?:\n([{_LETTERS}]+)([{_MARKS}]*))?")
 
 
 class Encoder:
-    """ids(texts) gives each text's ids as little-endian unsigned 32-bit numbers in bytes."""
+    """ids(texts) gives each text's ids as little-endian unsigned 32-bit numbers in bytes, the same as the library's plain call."""
 
     _made: dict[str, "Encoder"] = {}
 
@@ -28,10 +32,11 @@ class Encoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.bare = Tokenizer(self.tokenizer.model)  # without the rule for cutting
         self.cache: dict[str, bytes] = {}  # of parts and words after a space
         self.heads: dict[str, bytes] = {}  # of words without one: a text's first, and those after a line end
         self.tails: dict[str, bytes] = {}
@@ -39,6 +44,9 @@ class Encoder:
         # The vocabulary writes bytes that are no visible Latin-1 characters as those from U+0100 on, in order.
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.mark = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(seen))}
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(chr(self.mark[32]))]] = True
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -50,44 +58,60 @@ class Encoder:
     def _encode(self, parts: list[str]) -> list[bytes]:
         return parts and [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        """The ids of one piece: a space or nothing, then letters."""
-        text = "\u0120" + word[1:] if word.isascii() and word[0] == " " else word.encode().decode("latin-1").translate(self.mark)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
-
-    def _simple(self, part: str, space: str) -> bytes | None:
-        """The ids of letters and marks after a space (or nothing, as space says); None if it has anything else."""
-        if len(part) > LONGEST_CACHED:
-            return None
-        core = part.rstrip(_MARKS)
-        if not core.isalpha() or not core.isascii() and max(core) >= _LATER:
-            return None
-        words = self.cache if space else self.heads
-        ids = words.get(core)
+    def _visible(self, text: str) -> str:
+        return text.replace(" ", chr(self.mark[32])) if text.isascii() else text.encode().decode("latin-1").translate(self.mark)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, each after a space. No merge joins a letter and a space, so they are encoded as one piece."""
+        import numpy as np
+
+        ids = np.array(self.bare.encode_batch_fast([self._visible(" " + " ".join(words))], add_special_tokens=False)[0].ids, "<u4")
+        ends, flat = [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)], ids.tobytes()
+        return [flat[s:e] for s, e in zip(ends, ends[1:])]
+
+    def _first(self, word: str) -> bytes:
+        """The ids of a word of letters without a space before it."""
+        ids = self.heads.get(word)
         if ids is None:
-            ids = words[core] = self._word(space + core)
-        if len(core) < len(part):
-            tail = part[len(core) :]
-            if tail not in self.tails:
-                self.tails[tail] = self._encode([tail])[0]
-            ids += self.tails[tail]
+            ids = self.heads[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(self._visible(word))]).tobytes()
         return ids
 
+    def _tail(self, marks: str) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = self._encode([marks])[0]
+            if len(marks) <= LONGEST_CACHED:
+                self.tails[marks] = ids
+        return ids
+
+    def _rest(self, found: re.Match) -> bytes:
+        """The ids of what _SIMPLE found after its first word."""
+        _, marks, second, more = found.groups()
+        ids = self._tail(marks) if marks else b""
+        if second:
+            ids += self.line_end + self._first(second)
+            if more:
+                ids += self._tail(more)
+        return ids
+
+    def _head(self, part: str) -> bytes:
+        found = _SIMPLE.fullmatch(part) if len(part) <= LONGEST_CACHED else None
+        return self._first(found[1]) + self._rest(found) if found else self._encode([part])[0]
+
     def _learn(self, parts: list[str]) -> list[bytes]:
         """The ids of parts, each after a space; those of short ones go into the cache."""
         cache, out, rest = self.cache, [], []
-        for at, part in enumerate(parts):
-            first, line_end, second = part.partition("\n")
+        found = [_SIMPLE.fullmatch(part) if len(part) <= LONGEST_CACHED else None for part in parts]
+        new = [w for w in dict.fromkeys(m[1] for m in found if m) if w not in cache]
+        if new:
+            cache.update(zip(new, self._words(new)))
+        for at, (part, m) in enumerate(zip(parts, found)):
             ids = cache.get(part)
-            if ids is None and first and len(part) <= LONGEST_CACHED:
-                ids = self._simple(first, " ")
-                if ids is not None and line_end:
-                    more = self._simple(second, "") if second else None
-                    ids = more and ids + self.line_end + more
-                if ids is not None:
-                    cache[part] = ids
             if ids is None:
-                rest.append(at)
+                if m:
+                    ids = cache[part] = cache[m[1]] + self._rest(m)
+                else:
+                    rest.append(at)
             out.append(ids)
         for at, ids in zip(rest, self._encode([" " + parts[at] for at in rest])):
             out[at] = ids
@@ -98,12 +122,13 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if len(self.cache) + len(self.heads) > MOST_CACHED:
-                self.cache, self.heads = {}, {}
-            parts = _CUT.split(text) if _DOUBLE.search(text) else text.split(" ")
+            if len(self.cache) + len(self.heads) + len(self.tails) > MOST_CACHED:
+                self.cache, self.heads, self.tails = {}, {}, {}
+            double = any(x in text for x in _ASCII_DOUBLE) or not text.isascii() and _DOUBLE.search(text)
+            parts = _CUT.split(text) if double else text.split(" ")
             head, parts[0] = parts[0], ""
             known = list(map(self.cache.get, parts))
-            known[0] = (self._simple(head, "") or self._encode([head])[0]) if head else b""
+            known[0] = self._head(head) if head else b""
             if None in known:
                 new = [i for i, x in enumerate(known) if x is None]
                 for i, ids in zip(new, self._learn([parts[i] for i in new])):
