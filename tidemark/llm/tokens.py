@@ -37,9 +37,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.tokenizer.model)  # without the rule for cutting
-        self.cache: dict[str, bytes] = {}  # of parts and words after a space
-        self.heads: dict[str, bytes] = {}  # of words without one: a text's first, and those after a line end
-        self.tails: dict[str, bytes] = {}
+        self.forget()
         self.line_end = self._encode(["\n"])[0]
         # The vocabulary writes bytes that are no visible Latin-1 characters as those from U+0100 on, in order.
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -48,6 +46,11 @@ class Encoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space
         self.spaced[[i for t, i in vocabulary.items() if t.startswith(chr(self.mark[32]))]] = True
 
+    def forget(self) -> None:
+        self.cache: dict[str, bytes] = {}  # of parts and words after a space
+        self.heads: dict[str, bytes] = {}  # of words without one: a text's first, and those after a line end
+        self.tails: dict[str, bytes] = {}  # of marks after a letter
+
     @classmethod
     def of(cls, path: str) -> "Encoder":
         """One encoder for each vocabulary and worker process."""
@@ -123,7 +126,7 @@ class Encoder:
         out = []
         for text in texts:
             if len(self.cache) + len(self.heads) + len(self.tails) > MOST_CACHED:
-                self.cache, self.heads, self.tails = {}, {}, {}
+                self.forget()
             double = any(x in text for x in _ASCII_DOUBLE) or not text.isascii() and _DOUBLE.search(text)
             parts = _CUT.split(text) if double else text.split(" ")
             head, parts[0] = parts[0], ""
