@@ -144,3 +144,33 @@ def test_rows_that_share_an_id_keep_their_own_lines_and_texts(spark):
     assert sorted((x.doc_id or 0, x.text or "") for x in left.collect()) == sorted([(3, copy), (5, other), (5, third), (5, ""), (0, other)])
     found = sorted((x.doc_id or 0, x.component_id or 0, x.n_shingles) for x in near_dedup.near_duplicates(docs).collect())
     assert found == sorted([(3, 3, 8), (5, 3, 8), (5, 5, 8), (5, 5, 8), (5, 5, 8), (9, 5, 8), (5, 5, 0), (0, 0, 8)])
+
+
+def test_blocks_of_sets_are_compared_as_pairs_are():
+    import numpy as np
+
+    r = random.Random(11)
+    sets = []
+    for _ in range(60):
+        base = sets[r.randrange(len(sets))].tolist() if sets and r.random() < 0.7 else [r.randrange(1 << 63) for _ in range(r.randint(1, 4000))]
+        kept = [x for x in base if r.random() < r.choice([0.8, 0.9, 0.98])]
+        sets.append(np.unique(np.array(kept + [r.randrange(1 << 63) for _ in range(r.randint(1, 30))], np.uint64)))
+    got = near_dedup.linked_pairs(sets[:25], sets[25:])
+    assert got.tolist() == [[near_dedup.linked(x, y) for y in sets[25:]] for x in sets[:25]]
+    assert got.any() and not got.all()
+
+
+def test_a_group_of_copies_near_the_threshold_against_sql(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 5_000)  # some 15 documents
+    monkeypatch.setattr(near_dedup, "STAR", 7)
+    r = random.Random(12)
+    base = fx.words(r, 120, 10**6).split()
+    rows = []
+    for i in range(90):
+        t = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5, 6])):
+            t[r.randrange(len(t))] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(t), "en", "a"))
+    at = fx.saved(fx.table(spark, rows), tmp_path)
+    got = fx.by_spark(near_dedup.query(spark, at))
+    assert got == fx.by_sql(near_dedup.SQL, tmp_path)

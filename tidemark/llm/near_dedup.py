@@ -6,10 +6,11 @@ XOR tells how many samples differ. Documents with equal sets form one class. Cla
 sketches drop those that are far from the threshold (so far that chance can't have put a link there), and full sets, made again
 from the texts, confirm the rest.
 
-Only components are asked for, so not all pairs in a bucket are: first each member is held against its bucket's least member,
-then, a few times, against some member of another component, drawn anew for each bucket; most groups are in one component by then.
-Members of buckets that still have several are held against those of the other components, in blocks of BLOCK members, and only
-pairs that pass the sketches leave the join. No bucket, class or component is gathered in a task.
+Only components are asked for, so not all pairs in a bucket are: first each member is held against its bucket's least member. Buckets
+whose members are all in one component by then are done. In the others, members that are in different components are held against
+each other in blocks (blocks.py): sketches first, all at once; full sets for the pairs that pass, a pair in one of the buckets that it
+shares alone. Pairs never become rows: a block's task returns links that join components. No bucket, class or component is gathered
+in a task.
 
 Chance of missing a link at the threshold itself: 5e-6 by the bands ((1 - 0.75^4)^32), 3e-7 by the sketches (five standard
 deviations); less above it. Shingles are compared by 64-bit hashes.
@@ -21,15 +22,14 @@ and they aren't kept. An empty table gives an empty table. Further columns are k
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import blocks, common
 from .components import components
 
 SHINGLE, PERMUTATIONS, BANDS, ROWS = 5, 128, 32, 4
@@ -37,9 +37,10 @@ SHINGLE, PERMUTATIONS, BANDS, ROWS = 5, 128, 32, 4
 SKETCH_WORDS, LEAST_ESTIMATE = 8, 0.5
 #: Linked are sets with 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
-BLOCK = 1024
-#: How often members are held against single others of their bucket, before those still apart are held against each other.
-TURNS = 4
+#: Shingles in a block, where a document counts LEAST_WEIGHT more than it has; members that are held against one at once.
+BLOCK, LEAST_WEIGHT, STAR = 1_000_000, 200, 1024
+#: So many pairs of a block are compared at once; shingles that are counted at once.
+PAIRS, COLUMNS = 1 << 18, 2048
 #: Ids are sent to all executors up to so many (16 MB); beyond it the texts are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -118,6 +119,73 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= SIMILAR * (len(x) + len(y) - both)
 
 
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which of left is linked with which of right: the sizes of all intersections, by products of membership tables."""
+    size = [np.array([len(s) for s in side], np.int64) for side in (left, right)]
+    both = np.intersect1d(*(np.unique(np.concatenate(side)) for side in (left, right)), assume_unique=True)
+    shared = np.zeros((len(left), len(right)), np.int64)
+    where = []  # row and column of each shingle that both sides have, by column
+    for side in (left, right):
+        flat, row = np.concatenate(side), np.repeat(np.arange(len(side)), [len(s) for s in side])
+        at = np.searchsorted(both, flat)
+        hit = at < len(both)
+        hit[hit] = both[at[hit]] == flat[hit]
+        order = np.argsort(at[hit], kind="stable")
+        where.append((row[hit][order], at[hit][order]))
+    for c in range(0, len(both), COLUMNS):
+        tables = []
+        for (row, at), side in zip(where, (left, right)):
+            s, e = np.searchsorted(at, (c, c + COLUMNS))
+            table = np.zeros((len(side), min(COLUMNS, len(both) - c)), np.float32)
+            table[row[s:e], at[s:e] - c] = 1
+            tables.append(table)
+        shared += (tables[0] @ tables[1].T).astype(np.int64)  # exact: counts up to COLUMNS
+    return 100 * shared >= SIMILAR * (size[0][:, None] + size[1][None, :] - shared)
+
+
+def block_links(table: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """Links that join components among a group's rows: pairs of its sides whose sketches are near and whose full sets are linked."""
+    left, right = blocks.sides(table)
+    lists = lambda name: pc.list_flatten(table.column(name)).to_numpy().reshape(len(table), -1)
+    sketch, bands, key = lists("sketch").view(np.uint64), lists("bands"), table.column("key")[0].as_py()
+    earlier = bands < key if table.column("once")[0].as_py() else np.zeros_like(bands, bool)
+    ids, most = table.column("id").to_pylist(), most_flipped()
+    sets: dict[int, np.ndarray] = {}
+    column = table.column("set")
+    joined = blocks.Joined(table.column("component").to_pylist())
+
+    def of(row: int) -> np.ndarray:
+        if row not in sets:
+            sets[row] = np.frombuffer(column[row].as_py(), "<u8")
+        return sets[row]
+
+    step = max(1, PAIRS // max(len(right), 1))
+    for at in range(0, len(left), step):
+        rows_ = left[at : at + step]
+        pairs = joined.label[rows_][:, None] != joined.label[right][None, :]
+        if left is right:
+            pairs &= np.arange(at, at + len(rows_))[:, None] < np.arange(len(right))[None, :]
+        x, y = np.nonzero(pairs)
+        flips = sum(np.bitwise_count(sketch[rows_[x], w] ^ sketch[right[y], w]).astype(np.int64) for w in range(SKETCH_WORDS))
+        x, y = rows_[x[flips <= most]], right[y[flips <= most]]
+        if len(x) and earlier.any():  # a pair that shares an earlier bucket is left to that one
+            first = np.ones(len(x), bool)
+            for b in range(BANDS):
+                first &= ~(earlier[x, b] & (bands[x, b] == bands[y, b]))
+            x, y = x[first], y[first]
+        if not len(x):
+            continue
+        if len(x) <= 64:
+            found = [(i, j) for i, j in zip(x.tolist(), y.tolist()) if joined.label[i] != joined.label[j] and linked(of(i), of(j))]
+        else:
+            some, other = np.unique(x), np.unique(y)
+            yes = linked_pairs([of(i) for i in some.tolist()], [of(j) for j in other.tolist()])
+            found = [(i, j) for i, j, ok in zip(x.tolist(), y.tolist(), yes[np.searchsorted(some, x), np.searchsorted(other, y)].tolist()) if ok]
+        for i, j in found:
+            joined.join(i, j)
+    return pa.array([ids[i] for i, _ in joined.at], pa.int64()), pa.array([ids[j] for _, j in joined.at], pa.int64())
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_hash, bands and sketch of docs(doc_id, text); the last three are null for empty sets."""
     common.small_batches(common.session(docs))
@@ -137,41 +205,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     return common.plain(docs, "doc_id", "text").mapInArrow(common.over_texts(signed, ["doc_id"], schema), schema)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets are linked, written to the shared folder."""
-    spark = common.session(docs)
-    pairs = common.stored(pairs, "pairs")
-    ids = common.stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and set, once for each of ids(id), written to the shared folder."""
+    schema = "id bigint, set binary"
     few = ids.count() <= MOST_BROADCAST
-    texts = common.plain(docs, "doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    texts = common.stored(texts, "texts", {"compression": "zstd"})
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sets = None, np.empty(0, np.uint64)  # rows with equal b follow each other
-        for batch in batches:
-            a, b = [], []
-            for x, y, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                if last != (y, t):
-                    last, sets = (y, t), shingles(t or "")
-                if linked(shingles(s or ""), sets):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    common.small_batches(spark)
-    out = common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint").distinct(), "confirmed")
-    for df in (texts, ids):
-        common.discard(df)
-    return out
-
-
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """key, id, n and component of the members of buckets that have members of several components."""
-    label = F.coalesce("component", "id")
-    placed = common.stored(members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", label.alias("component")), "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    return common.stored(placed.join(split, "key"), "open-members")
+    texts = common.plain(docs, "doc_id", "text").withColumnRenamed("doc_id", "id").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    made = texts.mapInArrow(common.over_texts(lambda x: {"set": [shingles(t).tobytes() for t in x]}, ["id"], schema), schema)
+    # Rows of one id have one text here: only rows that repeat go.
+    return common.stored(made.groupBy("id").agg(F.min("set").alias("set")), "sets", {"compression": "zstd"})
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
@@ -210,49 +251,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _near_duplicates(docs: DataFrame) -> DataFrame:
     """near_duplicates() of docs in which rows of one doc_id have one text."""
     signed = common.stored(signatures(docs), "signatures")
-    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash")
+    classes = classes.agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
     classes = common.stored(classes, "classes")
-    sketches = classes.select("id", "sketch", "bands")
-    members = classes.select("id", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = classes.select("id", F.explode("bands").alias("key"), blocks.weight(F.col("n"), LEAST_WEIGHT).alias("weight"))
+    buckets = members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least < last").select("key", "least")
     members = common.stored(members.join(buckets, "key"), "members")
-    close = lambda x, y: flipped(x, y) <= most_flipped()
-
-    sketch = lambda id_, name: sketches.select(F.col("id").alias(id_), F.col("sketch").alias(name))
-    links = found = tested = None
-    for turn in range(TURNS):
-        # Each member against one of its bucket: the least at first, then, where several components are left, any of another one.
-        if turn:
-            placed = _open(members, found)
-            if not placed.limit(1).count():
-                break
-            order = F.xxhash64("id", "key", F.lit(turn))
-            lead = placed.groupBy("key").agg(F.min_by(F.struct("id", "component"), order).alias("lead"))
-            pairs = placed.join(lead, "key").filter(F.col("component") != F.col("lead.component")).select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b"))
-            pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        else:
-            pairs = members.filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-        pairs = common.stored(pairs, "tested")
-        near = pairs.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").filter(close(F.col("x"), F.col("y"))).select("a", "b")
-        more = confirmed(near, docs)
-        links = more if links is None else links.unionByName(more)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if turn == 0 or more.limit(1).count():
-            found = components(links)
-    else:
-        # What is left: members of different components of a bucket, all against all, in blocks.
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        open_ = _open(members, found).join(sketches, "id")
-        open_ = common.stored(open_.select("key", "id", "component", "sketch", "bands", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own")), "open")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        left = open_.select("key", F.col("own").alias("i"), other.alias("j"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("x"), F.col("bands").alias("p"))
-        right = open_.select("key", other.alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("y"), F.col("bands").alias("q"))
-        apart = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("x"), F.col("y"))
-        once = F.array_min(F.array_intersect("p", "q")) == left.key  # a pair meets in each bucket that it shares
-        met = left.join(right, (left.key == right.key) & (left.i == right.i) & (left.j == right.j) & F.when(apart, once).otherwise(False))
-        more = confirmed(met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), docs)
-        if more.limit(1).count():
-            found = components(links.unionByName(more))
+    side = lambda name: classes.select(F.col("id").alias(name), F.col("sketch").alias(f"{name}_sketch"))
+
+    def found_in(groups: DataFrame, once: bool) -> DataFrame:
+        """The links in groups of ids, whose sketches, bands and sets are put beside them."""
+        groups = common.stored(groups, "groups")
+        sets = sets_of(groups.select("id").distinct(), docs)
+        rows = groups.join(sets.join(classes.select("id", "sketch", "bands"), "id"), "id").withColumn("once", F.lit(once))
+        out = common.stored(blocks.links_in(rows, block_links), "found-links")
+        for df in (groups, sets):
+            common.discard(df)
+        return out
+
+    pairs = members.filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(flipped(F.col("a_sketch"), F.col("b_sketch")) <= most_flipped()).select("a", "b")
+    links = found_in(blocks.star_groups(common.stored(pairs, "star-pairs"), STAR), False)
+    found = components(links)
+    more = found_in(blocks.open_groups(members, found, BLOCK), True)
+    if more.limit(1).count():
+        found = components(links.unionByName(more))
+    common.discard(members)
 
     label = F.coalesce("component", "id")
     of_class = classes.select("set_hash", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("set_hash", label.alias("component"))
