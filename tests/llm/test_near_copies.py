@@ -103,7 +103,7 @@ def test_lines_within_the_threshold_share_a_key_and_near_sketches():
         s, t = sorted((a, changed(r, a, 2, "abc")), key=len)
         k = line_dedup.threshold(len(s))
         if k and line_dedup.within(s, t, k):
-            assert set(line_dedup.index_keys(s)) & set(line_dedup.probe_keys(t))
+            assert set(line_dedup.segment_keys([s], index=True)[0]) & set(line_dedup.segment_keys([t])[0])
             x, y = map(int, line_dedup.pair_sketches([s, t]))
             assert bin((x ^ y) & (1 << 64) - 1).count("1") <= 8
 
@@ -174,3 +174,64 @@ def test_a_group_of_copies_near_the_threshold_against_sql(spark, tmp_path, monke
     at = fx.saved(fx.table(spark, rows), tmp_path)
     got = fx.by_spark(near_dedup.query(spark, at))
     assert got == fx.by_sql(near_dedup.SQL, tmp_path)
+
+
+def test_segment_keys_do_not_depend_on_the_lines_beside():
+    r = random.Random(13)
+    lines = ["".join(r.choice("abc \U0001f600é") for _ in range(r.randint(16, 90))) for _ in range(50)]
+    for index in (False, True):
+        keys, of = line_dedup.segment_keys(lines, 3, index)
+        for i, line in enumerate(lines):
+            assert sorted(keys[of == i].tolist()) == sorted(line_dedup.segment_keys([line], 3, index)[0].tolist())
+            if index:
+                assert (of == i).sum() == line_dedup.threshold(len(line), 3) + 1
+
+
+def test_numbered_lines_are_found_without_rows_for_pairs(spark, monkeypatch):
+    made = {}
+    stored = line_dedup.common.stored
+    monkeypatch.setattr(line_dedup.common, "stored", lambda df, name, *a: made.setdefault(f"{name}{len(made)}", stored(df, name, *a)))
+    monkeypatch.setattr(line_dedup.common, "discard", lambda df: None)
+    n = 20_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('Page ', lpad(cast(id AS string), 6, '0'), ' of the collected annual reports') AS text")
+    got = line_dedup.near_lines(docs)
+    assert got.count() == n - 1 and got.select("component").distinct().count() == 1
+    assert max(df.count() for df in made.values()) <= 40 * n  # pairs are n * n / 2
+
+
+def test_more_edits_by_choice_against_the_full_table(spark):
+    r = random.Random(14)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(50, 120))).strip() for _ in range(8)]
+    lines = list(dict.fromkeys(changed(r, r.choice(base), 6, "abcdefgh").strip() for _ in range(80)))
+    root = {x: x for x in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            k = line_dedup.threshold(min(len(a), len(b)), 5)
+            if k and edits(a, b) <= k:
+                root[find(a)] = find(b)
+    want = {}
+    for x in lines:
+        want.setdefault(find(x), set()).add(line_dedup.line_hash(x))
+    got = {}
+    for row in line_dedup.near_lines(fx.table(spark, [(i, x, "en", "a") for i, x in enumerate(lines)]), 5).collect():
+        got.setdefault(bytes(row.component), {bytes(row.component)}).add(bytes(row.node))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_odd_names_and_repeated_rows_against_sql(spark, tmp_path):
+    r = random.Random(15)
+    line = lambda: "".join(r.choice("abcdefg ") for _ in range(40)).strip()
+    own = [line() for _ in range(12)]
+    rows = [(i, "\n".join(changed(r, r.choice(own), 2, "abc") for _ in range(5)), "en", "a") for i in range(30)]
+    rows += [(50, "x" * 200_000 + "\n" + own[0], "en", "a"), (51, "x" * 199_999 + "y\n" + own[1], None, None), (52, None, None, "a"), (53, " \n\t\n", "en", "a")]
+    at = fx.saved(fx.table(spark, rows), tmp_path)
+    assert fx.by_spark(line_dedup.query(spark, at)) == fx.by_sql(line_dedup.SQL, tmp_path)
+    docs = spark.createDataFrame([(1, "a line of some words\nb", 5), (2, "a line of some wordz", 6)], "doc_id bigint, text string, `a.b``c` int")
+    assert line_dedup.drop_lines(docs).columns == docs.columns == ["doc_id", "text", "a.b`c"]
+    assert sorted((x[0], x[1], x[2]) for x in line_dedup.drop_lines(docs).collect()) == [(1, "a line of some words\nb", 5), (2, "", 6)]

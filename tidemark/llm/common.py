@@ -84,6 +84,11 @@ def plain(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.col(n).cast(kinds[n]).alias(n) for n in names))
 
 
+def quoted(name: str) -> str:
+    """A column's name as F.col() takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}

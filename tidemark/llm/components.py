@@ -29,7 +29,7 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the least node reached) of each node but those that are the least themselves.
 
-    links: pairs of bigint ids; null and equal ones link nothing. Rounds grow with the logarithm of a chain's length, and each is
+    links: pairs of ids of any type that has an order; null and equal ones link nothing. Rounds grow with the logarithm of a chain's length, and each is
     written to the shared folder, so that neither lineage nor a lost executor brings work back.
     """
     x, y = F.col(a), F.col(b)

@@ -3,14 +3,17 @@
 A line of length l may differ from another in threshold(l) edits (of the shorter line's length). It is split into one segment more
 than that, so that a line within the threshold holds at least one segment unchanged, and near its place. Shorter lines put their
 segments into an index by length, place and content; longer lines look up only the substrings that the edits before and after a
-segment leave room for. A 64-bit odd sketch of character pairs goes with each row: an edit changes four pairs at most, so pairs of
-lines whose sketches differ in more bits leave the join at once, without loss. What remains is verified by banded bit-parallel
-edit distance. Links are transitive; of each class of lines the first occurrence, by doc_id and line number, stays.
+segment leave room for. A 64-bit odd sketch of character pairs goes with each row: an edit changes four pairs at most, so lines whose
+sketches differ in more bits need no look, without loss. What remains is verified by banded bit-parallel edit distance.
 
-Lines are compared without the blanks around them; lines without a word are left alone. Equal lines are found by 64-bit hashes.
+Links are transitive, so not all pairs on a segment are needed: each line that finds a segment is held against the least line of the
+index there. Where the index has several lines for a segment and its lines are still in different components, they are compared in
+blocks (blocks.py); pairs never become rows. Of each class of lines the first occurrence, by doc_id and line number, stays.
+
+Lines are compared without the blanks around them; lines without a word are left alone. Equal lines are found by 128-bit hashes.
 Null texts have no lines and stay null. Null doc_ids come first. In line_table(), rows with equal doc_id and line number count as
-one occurrence; drop_lines() tells rows of one doc_id (or of none) apart by their texts. An empty table gives an empty table. A text all of whose lines go becomes empty, its row stays. Further columns are kept by
-drop_lines().
+one occurrence; drop_lines() tells rows of one doc_id (or of none) apart by their texts. An empty table gives an empty table. A text
+all of whose lines go becomes empty, its row stays. Further columns are kept by drop_lines().
 """
 
 from __future__ import annotations
@@ -23,66 +26,78 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import blocks, common
 from .components import components
+from .near_dedup import mixed
 
-#: Edits allowed: none below CHARS_PER_EDIT characters, then one for each so many, up to MOST_EDITS.
+#: Edits allowed: none below CHARS_PER_EDIT characters, then one for each so many, up to MOST_EDITS (the operators' default).
 MOST_EDITS, CHARS_PER_EDIT = 2, 16
 PAIRS_PER_EDIT = 4
 MOST_BROADCAST = 1_000_000
+#: Characters in a block, where a line counts LEAST_WEIGHT more than it has; lines that are held against one at once.
+BLOCK, LEAST_WEIGHT, STAR = 200_000, 64, 1024
+#: Characters whose segments are hashed at once; ids that a task remembers to send a line once.
+CHUNK, MOST_SEEN = 1 << 20, 1 << 20
 #: Stands for a null doc_id where rows are ordered and joined.
 NO_ID = -(1 << 63)
 
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
-def threshold(length: int) -> int:
-    return min(MOST_EDITS, length // CHARS_PER_EDIT)
 
+def threshold(length: int, edits: int = MOST_EDITS) -> int:
+    return min(edits, length // CHARS_PER_EDIT)
 
-def segments(length: int, parts: int) -> list[tuple[int, int]]:
-    """Start and length of each of so many segments, the longer ones last."""
-    short, longer = divmod(length, parts)
-    out, at = [], 0
-    for i in range(parts):
-        size = short + (i >= parts - longer)
-        out.append((at, size))
-        at += size
-    return out
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
 
-def index_keys(line: str) -> list[int]:
-    """Keys under which a line can be found by lines that are as long or longer."""
-    n = len(line)
-    k = threshold(n)
-    return [_key(n, i, line[s : s + m]) for i, (s, m) in enumerate(segments(n, k + 1))] if k else []
 
+def segment_keys(lines: list[str], edits: int = MOST_EDITS, index: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of lines, and the number of each key's line.
 
-def probe_keys(line: str) -> list[int]:
-    """Keys of the lines that are as long or shorter and may be within their threshold."""
-    n, out = len(line), set()
-    for length in range(max(n - MOST_EDITS, 1), n + 1):
-        k, more = threshold(length), n - length
-        if more > k or not k:
-            continue
-        for i, (s, m) in enumerate(segments(length, k + 1)):
-            # At most i edits come before segment i of the first that match, at most k - i after it.
-            lo = max(0, s - i, s + more - (k - i))
-            hi = min(n - m, s + i, s + more + (k - i))
-            out.update(_key(length, i, line[at : at + m]) for at in range(lo, hi + 1))
-    return list(out)
+    index: a line's own segments, under which lines that are as long or longer find it. Else the substrings that may be a segment of
+    a line that is as long or shorter. Substrings are hashed by differences of running sums, so each costs the same at any length.
+    """
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    first, back = np.cumsum(n) - n, _powers(_BACK, len(points))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(points + np.uint64(1 << 32)) * _powers(_BASE, len(points))[:-1])])
+    keys, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for more in range(1 if index else edits + 1):
+        shorter = n - more
+        allowed = np.minimum(edits, shorter // CHARS_PER_EDIT)
+        for k in range(max(1, more), edits + 1):
+            line = np.flatnonzero(allowed == k)
+            length, longest = shorter[line], n[line]
+            short, longer = np.divmod(length, k + 1)  # the longer segments come last
+            for i in range(k + 1 if len(line) else 0):
+                size = short + (i >= k + 1 - longer)
+                start = i * short + np.maximum(0, i - (k + 1 - longer))
+                # At most i edits come before segment i of the first that match, at most k - i after it.
+                for shift in [0] if index else range(max(-i, more - (k - i)), min(i, more + k - i) + 1):
+                    at = start + shift
+                    fits = (at >= 0) & (at + size <= longest)
+                    s, e = first[line[fits]] + at[fits], first[line[fits]] + at[fits] + size[fits]
+                    keys.append(mixed((sums[e] - sums[s]) * back[s] ^ mixed(length[fits].astype(np.uint64) * np.uint64(64) + np.uint64(i + 1))))
+                    of.append(line[fits])
+    return np.concatenate(keys).view(np.int64), np.concatenate(of)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _key(length: int, i: int, segment: str) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(segment.encode("utf-8", "surrogatepass"), length * 16 + i))
-
-
 def line_id(line: str) -> int:
+    """Tells lines apart in the search for candidates."""
     return _signed(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"), 7))
 
 
+def line_hash(line: str) -> bytes:
+    """Lines with equal hashes count as equal."""
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"), 7)
+
+
 def pair_sketches(lines: list[str]) -> np.ndarray:
     """For each line 64 bits, of which each pair of neighbouring characters flips one."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -134,68 +149,106 @@ def within(a: str, b: str, k: int) -> bool:
     return value <= k
 
 
-def _pairs(docs: DataFrame, spark) -> DataFrame:
-    """Candidate pairs (a, b) of line ids: they share a key, and their sketches are near enough."""
+def _long_lines(texts: list[str | None]) -> Iterator[str]:
+    """The lines that others may be near to."""
+    for text in texts:
+        for line in (text or "").split("\n"):
+            line = line.strip(common.BLANKS)
+            if len(line) >= CHARS_PER_EDIT:
+                yield line
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a line that recurs in a partition is sent once
+
+def _keyed(docs: DataFrame, edits: int, index: bool) -> DataFrame:
+    """key, id and sketch of the lines of docs(text); a line that recurs in a partition is sent once, as a rule."""
+
+    def rows(lines: dict[int, str]) -> pa.RecordBatch:
+        key, of = segment_keys(list(lines.values()), edits, index)
+        ids, sketches = np.array(list(lines), np.int64), pair_sketches(list(lines.values()))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, ids[of], sketches[of])], names=["key", "id", "sketch"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            ids, out = [], []
-            for text in batch.column("text").to_pylist():
-                for line in (text or "").split("\n"):
-                    line = line.strip(common.BLANKS)
-                    if len(line) >= CHARS_PER_EDIT and (i := line_id(line)) not in seen:
-                        seen.add(i)
-                        ids.append(i)
-                        out.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "line"])
-
-    distinct = docs.select("text").mapInArrow(lines, "id bigint, line string").repartition("id")
-
-    def rows_of(keys):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
-            for batch in batches:
-                new = {i: x for i, x in zip(batch.column("id").to_pylist(), batch.column("line").to_pylist()) if i not in seen}
-                seen.update(new)
-                found = [keys(x) for x in new.values()]
-                n = [len(x) for x in found]
-                out = [np.array([k for x in found for k in x], np.int64), np.repeat(np.array(list(new), np.int64), n), np.repeat(pair_sketches(list(new.values())), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["key", "id", "sketch"])
-
-        return run
-
-    schema = "key bigint, id bigint, sketch bigint"
-    index = distinct.mapInArrow(rows_of(index_keys), schema).select("key", F.col("id").alias("a"), F.col("sketch").alias("x"))
-    probe = distinct.mapInArrow(rows_of(probe_keys), schema).select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("sketch").alias("y"))
-    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= PAIRS_PER_EDIT * MOST_EDITS
-    met = index.join(probe, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & near)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def near_lines(docs: DataFrame) -> DataFrame:
-    """The linked pairs (a, b) of ids of lines of docs(text) that differ and are within their threshold."""
+            new, chars = {}, 0
+            for line in _long_lines(batch.column("text").to_pylist()):
+                if (i := line_id(line)) not in seen:
+                    seen.add(i)
+                    new[i] = line
+                    chars += len(line)
+                    if chars >= CHUNK:
+                        yield rows(new)
+                        new, chars = {}, 0
+            if new:
+                yield rows(new)
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+
+    return docs.select("text").mapInArrow(run, "key bigint, id bigint, sketch bigint")
+
+
+def _line_links(edits: int):
+    def link(table: pa.Table) -> tuple[pa.Array, pa.Array]:
+        """Links that join components among a group's lines, verified by their edit distance; the nearest sketches first."""
+        left, right = blocks.sides(table)
+        lines, ids = table.column("line").to_pylist(), table.column("hash").to_pylist()
+        n, sketch = np.array([len(x) for x in lines]), pair_sketches(lines).view(np.uint64)
+        allowed = np.minimum(edits, n // CHARS_PER_EDIT)
+        joined = blocks.Joined(table.column("component").to_pylist())
+        for at, x in enumerate(left.tolist()):
+            y = right[at + 1 :] if left is right else right
+            y = y[joined.label[y] != joined.label[x]]
+            k, flips = np.minimum(allowed[x], allowed[y]), np.bitwise_count(sketch[y] ^ sketch[x])
+            near = (np.abs(n[y] - n[x]) <= k) & (flips <= PAIRS_PER_EDIT * k) & (k > 0)
+            y, flips = y[near], flips[near]
+            y = y[np.argsort(flips, kind="stable")]
+            while len(y):
+                if within(lines[x], lines[y[0]], int(min(allowed[x], allowed[y[0]]))):
+                    joined.join(x, int(y[0]))
+                    y = y[joined.label[y] != joined.label[x]]
+                else:
+                    y = y[1:]
+        return tuple(pa.array([ids[pair[side]] for pair in joined.at], pa.binary()) for side in (0, 1))
+
+    return link
+
+
+def near_lines(docs: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
+    """node and component, by line_hash(), of the lines of docs(text) that are linked with others that differ from them."""
+    if edits < 1:
+        raise ValueError(f"at least one edit is allowed, not {edits}")
     spark = common.session(docs)
     common.small_batches(spark)
-    pairs = common.stored(_pairs(docs, spark), "line-pairs")
-    ids = common.stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "line-ids")
+    index = _keyed(docs, edits, True).groupBy("key").agg(F.min("id").alias("lead"), F.min_by("sketch", "id").alias("x"), F.max("id").alias("last"))
+    probe = _keyed(docs, edits, False)
+    near = (F.bit_count(F.col("sketch").bitwiseXOR(F.col("x"))) <= PAIRS_PER_EDIT * edits) & (F.col("id") != F.col("lead"))
+    many = F.col("lead") < F.col("last")
+    met = common.stored(probe.join(index, "key").filter(near | many).select("key", "id", "lead", near.alias("near"), many.alias("many")), "line-met")
+    pairs = met.filter("near").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
+    members = met.filter("many").select("key", "id").distinct()
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select("id"))
+    ids = common.stored(ids.distinct(), "line-ids")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = {line_id(x): x for t in batch.column("text").to_pylist() for x in (y.strip(common.BLANKS) for y in (t or "").split("\n")) if len(x) >= CHARS_PER_EDIT}
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.string())], names=["id", "line"])
+            got = list(dict.fromkeys(_long_lines(batch.column("text").to_pylist())))
+            columns = [pa.array([line_id(x) for x in got], pa.int64()), pa.array([line_hash(x) for x in got], pa.binary()), pa.array(got, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "hash", "line"])
 
     few = ids.count() <= MOST_BROADCAST
-    texts = docs.select("text").mapInArrow(lines, "id bigint, line string").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    texts = common.stored(texts.dropDuplicates(["id"]), "line-texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [within(s, t, threshold(min(len(s), len(t)))) for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return common.stored(both.select("a", "b", "s", "t").mapInArrow(check, "a bigint, b bigint"), "line-links")
+    texts = docs.select("text").mapInArrow(lines, "id bigint, hash binary, line string").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    texts = common.stored(texts.dropDuplicates(["hash"]), "line-texts")
+    found_in = lambda groups: common.stored(blocks.links_in(groups.join(texts, "id"), _line_links(edits), "binary"), "line-links")
+
+    links = found_in(blocks.star_groups(pairs, STAR))
+    found = components(links)
+    label = found.join(texts.select("id", F.col("hash").alias("node")), "node").select(F.col("id").alias("node"), F.xxhash64("component").alias("component"))
+    weights = texts.select("id", blocks.weight(F.length("line"), LEAST_WEIGHT).alias("weight"))
+    more = found_in(blocks.open_groups(members.join(weights, "id"), label, BLOCK))
+    if more.limit(1).count():
+        found = components(links.unionByName(more))
+    for df in (met, ids, texts, links, more):
+        common.discard(df)
+    return found
 
 
 def _row_hash() -> Column:
@@ -203,10 +256,11 @@ def _row_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def line_table(docs: DataFrame, by_row: bool = False) -> DataFrame:
+def line_table(docs: DataFrame, by_row: bool = False, edits: int = MOST_EDITS) -> DataFrame:
     """doc_id (NO_ID for null), line (from 0), id, and near and kept, of each line with a word of docs(doc_id, text).
 
     by_row: with a further column, row, the hash of the text, so that rows that share a doc_id are rows of their own.
+    edits: the most edits between linked lines, of which one is allowed for each CHARS_PER_EDIT characters.
     """
     common.small_batches(common.session(docs))
     row = [_row_hash().alias("row")] if by_row else []
@@ -221,14 +275,14 @@ def line_table(docs: DataFrame, by_row: bool = False) -> DataFrame:
                     if line := line.strip(common.BLANKS):
                         out[0].append(of)
                         out[1].append(at)
-                        out[2].append(line_id(line))
+                        out[2].append(line_hash(line))
             of = pa.array(out[0], pa.int64())
             keys = [batch.column(k).fill_null(NO_ID).take(of) for k in key]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], names=[*key, "line", "id"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=[*key, "line", "id"])
 
-    found = docs.mapInArrow(occurrences, ", ".join([*(f"{k} bigint" for k in key), "line int, id bigint"]))
+    found = docs.mapInArrow(occurrences, ", ".join([*(f"{k} bigint" for k in key), "line int, id binary"]))
     found = common.stored(found, "line-occurrences")
-    classes = components(near_lines(docs))
+    classes = near_lines(docs, edits)
     first = found.groupBy("id").agg(F.min(F.struct(*key, "line")).alias("first"))
     first = common.stored(first.join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("class"), "first"), "line-firsts")
     of_class = first.groupBy("class").agg(F.min("first").alias("class_first"))
@@ -237,16 +291,19 @@ def line_table(docs: DataFrame, by_row: bool = False) -> DataFrame:
     return found.join(first, "id").select(*key, "line", "id", "near", (at == F.col("class_first")).alias("kept"))
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     """docs with the texts of the lines that stay."""
-    of, row, lines = (common.free(docs, name) for name in ("of", "row_of", "gone"))
-    gone = line_table(docs, by_row=True).filter("NOT kept").groupBy(F.col("doc_id").alias(of), F.col("row").alias(row)).agg(F.collect_set("line").alias(lines))
-    gone = common.stored(gone, "lines-gone")
-    side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST // 20 else gone
-    at = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    rest = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(F.col(lines), i)), "\n")
-    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(rest).alias("text")
-    return docs.join(side, (at == F.col(of)) & (_row_hash() == F.col(row)), "left").select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    of, row, gone, at, parts = (common.free(docs, name) for name in ("of", "row_of", "gone", "at", "parts"))
+    dropped = line_table(docs, True, edits).filter("NOT kept").groupBy(F.col("doc_id").alias(of), F.col("row").alias(row)).agg(F.collect_set("line").alias(gone))
+    dropped = common.stored(dropped, "lines-gone")
+    # Texts cross the join as their lines, so that each is split once.
+    rest = [F.col(common.quoted(c)) for c in docs.columns if c != "text"]
+    split = docs.select(*rest, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias(at), _row_hash().alias(f"{at}_row"), F.split(F.col("text").cast("string"), "\n").alias(parts))
+    joined = split.join(dropped, (F.col(at) == F.col(of)) & (F.col(f"{at}_row") == F.col(row)), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    lines = F.when(F.col(gone).isNull(), F.col(parts)).otherwise(F.transform(stay, lambda i: F.get(F.col(parts), i)))
+    text = F.array_join(lines, "\n").alias("text")
+    return joined.select(*(text if c == "text" else F.col(common.quoted(c)) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -265,8 +322,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH RECURSIVE o AS (SELECT doc_id, i AS line, trim(ls[i + 1], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
-  FROM (SELECT doc_id, ls, unnest(generate_series(0, len(ls) - 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE regexp_matches(ls[i + 1], '[^ 	-
-]')),
+  FROM (SELECT doc_id, ls, unnest(generate_series(0, len(ls) - 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE regexp_matches(ls[i + 1], '[^ \x09-\x0D]')),
 u AS (SELECT t, length(t) AS n, least(2, length(t) // 16) AS k FROM (SELECT DISTINCT t FROM o)),
 l AS (SELECT a.t AS a, b.t AS b FROM u a JOIN u b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.t <> b.t WHERE abs(a.n - b.n) <= least(a.k, b.k) AND least(a.k, b.k) > 0
   AND levenshtein(a.t, b.t) <= least(a.k, b.k)),
