@@ -220,3 +220,39 @@ def test_ledger_scans_only_unseen_blobs_and_rule_versions(spark, tmp_path):
     odd = fx.odd(spark)
     assert secrets.scan(odd, secrets.Ledger(spark, f"{tmp_path}/odd")).count() == odd.count()
     assert secrets.scan(fx.empty(spark), secrets.Ledger(spark, f"{tmp_path}/none")).count() == 0
+
+
+def test_a_blob_that_is_twice_in_the_ledger_gives_one_row(spark, tmp_path):
+    from tidemark.llm import secrets
+
+    versions = spark.createDataFrame([("a", "password = hunter22"), ("b", "none")], "path string, text string")
+    ledger = secrets.Ledger(spark, f"{tmp_path}/ledger")
+    first = sorted(map(repr, secrets.scan(versions, ledger).collect()))
+    ledger.read().write.mode("append").partitionBy("rule_version").parquet(f"{tmp_path}/again")
+    spark.read.schema(ledger.SCHEMA).parquet(f"{tmp_path}/again").write.mode("append").partitionBy("rule_version").parquet(ledger.path)
+    assert ledger.read().count() == 4 and ledger.known(secrets.RULE_VERSION).count() == 2
+    assert sorted(map(repr, secrets.scan(versions, ledger).collect())) == first and len(first) == 2
+
+
+def test_odd_containers_and_names(spark):
+    deep = b""
+    for _ in range(1200):
+        deep = media.box("moov", deep)
+    good = media.encode(b"x" * 64)
+    fragment = good + media.box("moof", media.box("traf"))
+    stbl = lambda *sync: media.box("moov", media.box("trak", media.full("hdlr", bytes(4), b"vide"), media.full("stsz", struct.pack(">II", 4, (1 << 32) - 1)), media.full("stsc", struct.pack(">IIII", 1, 1, (1 << 32) - 1, 1)), media.full("stco", struct.pack(">II", 1, 100)), media.full("stss", struct.pack(f">I{len(sync)}I", len(sync), *sync))))
+    assert "deep" in media.describe(deep)["error"]
+    assert "fragmented" in media.describe(fragment)["error"]
+    assert media.describe(stbl(1, 2, 11))["keyframes"] == [(100, 4), (104, 4), (140, 4)]
+    assert media.describe(stbl(0))["error"]
+    both = media.describe(good + stbl(2))
+    assert [t["handler"] for t in both["tracks"]] == ["soun", "vide"] and both["handler"] == "vide"
+    df = spark.createDataFrame([(good, 1), (deep, 2), (None, 3)], "media binary, `a.b``c` int")
+    assert media.describe_media(df).columns[0] == "a.b`c" and media.describe_media(df).filter("error IS NULL").count() == 1
+    docs = spark.createDataFrame([("mail a@b.cd", 1)], "text string, `a.b``c` int")
+    assert pii.find_spans(docs).columns == ["a.b`c", "spans"] and pii.find_spans(docs).first()[0] == 1
+
+
+def test_marks_without_a_letter_are_no_word():
+    assert len(language.read_words(["\u0301", "\u093e 12", " \u0301\u0302 "]).first) == 0
+    assert len(language.read_words(["a\u0301 \u0301 \u0301b"]).first) == 2

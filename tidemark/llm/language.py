@@ -68,6 +68,12 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return low, script
 
 
+@cache
+def letters_only() -> np.ndarray:
+    """Which code points are letters, not marks."""
+    return np.array([unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)])
+
+
 @dataclass
 class Words:
     """The words of a block of texts: where letters are, and each word's first letter, script, length and text."""
@@ -84,6 +90,12 @@ def read_words(texts: list[str]) -> Words:
     low, scripts = tables()
     points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
     letters = low[points]
+    proper = letters_only()[points]
+    if (marks := (letters > 0) & ~proper).any():  # marks make no word without a letter
+        runs = np.flatnonzero(np.diff(np.concatenate([[0], letters > 0, [0]]).astype(np.int8)))
+        for s, e in zip(runs[::2].tolist(), runs[1::2].tolist()):
+            if marks[s] and not proper[s:e].any():
+                letters[s:e] = 0
     starts_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     before, after = np.concatenate([[0], letters[:-1]]), np.concatenate([letters[1:], [0]])
     where = np.flatnonzero(letters)

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 UNIT, RATE, CHUNK = 64, 8000, 1 << 16
+#: Boxes nested deeper are an error.
+DEEPEST = 32
 #: The boxes of the container format that hold other boxes.
 CONTAINERS = {"moov", "trak", "mdia", "minf", "dinf", "stbl", "edts", "udta", "mvex", "moof", "traf"}
 
@@ -75,10 +77,15 @@ def encode(payload: bytes, rate: int = RATE, chunk: int = CHUNK) -> bytes:
     return head + moov(base) + struct.pack(">I4s", 8 + n, b"mdat") + payload
 
 
-def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], int, int]]:
+def walk(data: bytes) -> Iterator[tuple[tuple[str, ...], int, int]]:
     """Each box: the path of kinds, and where its body starts and ends; nested ones after the box that holds them."""
-    end = len(data) if end is None else end
-    while at + 8 <= end:
+    open_: list[tuple[tuple[str, ...], int, int]] = [((), 0, len(data))]
+    while open_:
+        path, at, end = open_.pop()
+        if at + 8 > end:
+            if at != end:
+                raise ValueError(f"{end - at} bytes after the last box")
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         start = at + 8
         if size == 1:
@@ -88,14 +95,13 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[str, ...]
             size = end - at
         if size < start - at or at + size > end:
             raise ValueError(f"box {kind!r} at {at} ends outside of what holds it")
-        name = kind.decode("latin-1")
-        here = (*path, name)
+        if len(path) == DEEPEST:
+            raise ValueError(f"boxes are nested more than {DEEPEST} deep")
+        here = (*path, kind.decode("latin-1"))
         yield here, start, at + size
-        if name in CONTAINERS:
-            yield from walk(data, start, at + size, here)
-        at += size
-    if at != end:
-        raise ValueError(f"{end - at} bytes after the last box")
+        open_.append((path, at + size, end))
+        if here[-1] in CONTAINERS:
+            open_.append((here, start, at + size))
 
 
 @dataclass
@@ -119,28 +125,35 @@ class Track:
         return np.repeat(self.per_chunk[:, 1], np.diff(np.append(first, len(self.offsets))))
 
     def ranges(self, only_sync: bool = True) -> list[tuple[int, int]]:
-        """Byte ranges of the sync samples (of all, if none are marked), those that touch as one."""
+        """Byte ranges: one of each marked sync sample; of all samples, if none are marked, those that touch as one."""
         n = self.chunk_samples()
         if int(n.sum()) != self.samples:
             raise ValueError("the chunks don't hold the samples")
-        if isinstance(self.sizes, int) and (self.sync is None or not only_sync):
-            starts, lengths = self.offsets, n * self.sizes
-        else:
-            sizes = np.full(self.samples, self.sizes, np.int64) if isinstance(self.sizes, int) else self.sizes
-            before = np.cumsum(sizes) - sizes
-            chunk_first = np.cumsum(n) - n
-            starts = np.repeat(self.offsets, n) + before - np.repeat(before[np.minimum(chunk_first, max(self.samples - 1, 0))] if self.samples else before, n)
-            lengths = sizes
-            if only_sync and self.sync is not None:
-                starts, lengths = starts[self.sync - 1], lengths[self.sync - 1]
+        first = np.cumsum(n) - n
+        alike = isinstance(self.sizes, int)
+        before = None if alike else np.concatenate([[0], np.cumsum(self.sizes)])
+        if only_sync and self.sync is not None:
+            sample = self.sync - 1
+            if len(sample) and not 0 <= sample.min() <= sample.max() < self.samples:
+                raise ValueError("a sync sample is none of the samples")
+            chunk = np.searchsorted(first, sample, "right") - 1
+            inside = (sample - first[chunk]) * self.sizes if alike else before[sample] - before[first[chunk]]
+            lengths = np.full(len(sample), self.sizes, np.int64) if alike else self.sizes[sample]
+            return list(zip((self.offsets[chunk] + inside).tolist(), lengths.tolist()))
+        lengths = n * self.sizes if alike else before[first + n] - before[first]
         out: list[tuple[int, int]] = []
-        for s, m in zip(starts.tolist(), lengths.tolist()):
+        for s, m in zip(self.offsets.tolist(), lengths.tolist()):
             if out and sum(out[-1]) == s:
                 out[-1] = (out[-1][0], out[-1][1] + m)
             elif m:
                 out.append((s, m))
         return out
 
+    def seconds(self) -> float | None:
+        """The header's duration; that of the samples where it has none."""
+        ticks = self.duration or int((self.times[:, 0] * self.times[:, 1]).sum())
+        return ticks / self.timescale if self.timescale else None
+
 
 def tracks(data: bytes) -> list[Track]:
     """The tracks of a container, from its sample tables alone."""
@@ -148,6 +161,8 @@ def tracks(data: bytes) -> list[Track]:
     table = lambda at, n, k, width=4: np.frombuffer(data, f">u{width}", n * k, at).astype(np.int64).reshape(n, k)
     for path, start, end in walk(data):
         kind = path[-1]
+        if kind == "moof":
+            raise ValueError("fragmented: sample tables of fragments are not read")
         if kind == "trak":
             found.append(Track())
         if "trak" not in path or not found or kind in CONTAINERS:
@@ -182,12 +197,16 @@ def tracks(data: bytes) -> list[Track]:
 
 
 def describe(data: bytes | None) -> dict:
-    """codec, timescale, duration (s) and keyframe ranges of the first track; error if there is none."""
+    """codec, timescale, duration (s) and keyframe ranges of the first video track, or the first of any kind; tracks: of all.
+
+    error tells why there are none: no container, a damaged one, boxes nested too deep, or samples in fragments.
+    """
     try:
-        t = tracks(data or b"")[0]
-        return {"codec": t.codec, "timescale": t.timescale, "duration": t.duration / t.timescale if t.timescale else None, "samples": t.samples, "keyframes": t.ranges(), "error": None}
+        found = tracks(data or b"")
+        rows = [{"codec": t.codec, "handler": t.handler, "timescale": t.timescale, "duration": t.seconds(), "samples": t.samples, "keyframes": t.ranges()} for t in found]
+        return next((r for r in rows if r["handler"] == "vide"), rows[0]) | {"tracks": rows, "error": None}
     except (IndexError, ValueError, struct.error) as e:
-        return {"codec": None, "timescale": None, "duration": None, "samples": None, "keyframes": None, "error": str(e) or type(e).__name__}
+        return dict.fromkeys(("codec", "handler", "timescale", "duration", "samples", "keyframes", "tracks")) | {"error": str(e) or type(e).__name__}
 
 
 def read_payload(data: bytes) -> bytes:
@@ -208,26 +227,31 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def describe_media(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with codec, timescale, duration, samples, keyframes and error in place of its media column."""
+    """df with what describe() gives, codec to error, in place of its media column."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    own = StructType.fromDDL("codec string, timescale bigint, duration double, samples bigint, keyframes array<struct<offset:bigint,length:bigint>>, error string")
+    track = "codec{0} string, handler{0} string, timescale{0} bigint, duration{0} double, samples{0} bigint, keyframes{0} array<struct<offset:bigint,length:bigint>>"
+    own = StructType.fromDDL(f"{track.format('')}, tracks array<struct<{track.format(':')}>>, error string")
     df = df.drop(*own.names)
-    rest = [f for f in df.schema if f.name != media]
+    names = [c for c in df.columns if c != media]
+    # Names that Python workers' columns can't have come back at the end.
+    plain = df.toDF(*("media" if c == media else f"c{i}" for i, c in enumerate(df.columns)))
+    rest = [f for f in plain.schema if f.name != "media"]
     schema = StructType([*rest, *own])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for b in batches:
-            seen = [describe(x) for x in b.column(media).to_pylist()]
+            seen = [describe(x) for x in b.column("media").to_pylist()]
             for x in seen:
-                x["keyframes"] = x["keyframes"] and [{"offset": o, "length": n} for o, n in x["keyframes"]]
+                for t in [x, *(x["tracks"] or ())]:
+                    t["keyframes"] = t["keyframes"] and [{"offset": o, "length": n} for o, n in t["keyframes"]]
             columns = [b.column(f.name) for f in rest] + [pa.array([x[f.name] for x in seen], arrow.field(f.name).type) for f in own]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*names, *own.names)
 
 
 def feature(x: dict) -> str:

@@ -58,7 +58,7 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int =
     if targets.count() <= MOST_BROADCAST:
         side = F.broadcast(side)
     draw = common.share(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), source.alias("from"), word_count(text).alias("size"), draw.alias("draw"))
+    rows = docs.select(F.struct(*(F.col(common.quoted(c)) for c in docs.columns)).alias("row"), source.alias("from"), word_count(text).alias("size"), draw.alias("draw"))
     whole = F.floor("rate")
     copies = (whole + F.when(F.col("draw") < F.col("rate") - whole, 1).otherwise(0)).cast("int")
     return rows.join(side, F.col("from").eqNullSafe(F.col("of")), "left").select("row", "size", "source_size", "target", copies.alias("copies"))

@@ -228,7 +228,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     ids = common.stored(rows.orderBy(of, row).withColumn(own, F.monotonically_increasing_id()), "own-ids")
     side = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
     out = docs.join(side, (at == F.col(of)) & (text == F.col(row)), "left")
-    out = common.stored(out.select(*((F.col(own).alias(c) if c == "doc_id" else F.col(f"`{c}`")) for c in docs.columns)), "own-rows")
+    out = common.stored(out.select(*((F.col(own).alias(c) if c == "doc_id" else F.col(common.quoted(c))) for c in docs.columns)), "own-rows")
     return out, ids.select(F.col(own).alias("own"), F.col(of).alias("was"))
 
 
@@ -237,7 +237,7 @@ def _renamed(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     own, was = (common.free(df, name) for name in ("own", "was"))
     ids = ids.select(F.col("own").alias(own), F.col("was").alias(was))
     out = df.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, F.col(column) == F.col(own), "left")
-    return out.select(*((F.col(was).cast(df.schema[c].dataType).alias(c) if c == column else F.col(f"`{c}`")) for c in df.columns))
+    return out.select(*((F.col(was).cast(df.schema[c].dataType).alias(c) if c == column else F.col(common.quoted(c))) for c in df.columns))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -374,16 +374,20 @@ def all_spans(text: str, weights: dict) -> list[tuple[str, int, int]]:
 
 def find_spans(docs: DataFrame, text: str = "text", weights: dict | None = None) -> DataFrame:
     """docs without its text, with its spans."""
+    from pyspark.sql.types import StructType
+
     common.small_batches(common.session(docs))
     weights = trained() if weights is None else weights
     docs = docs.drop("spans")
-    rest = [f for f in docs.schema if f.name != text]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"spans {SPANS}"])
+    rest = [c for c in docs.columns if c != text]
+    # Names that Python workers' columns can't have come back at the end.
+    plain = docs.toDF(*("text" if c == text else f"c{i}" for i, c in enumerate(docs.columns)))
+    schema = StructType([*(f for f in plain.schema if f.name != "text"), *StructType.fromDDL(f"spans {SPANS}")])
 
     def found(texts: list[str]) -> dict:
         return {"spans": [[dict(zip(("kind", "start", "end"), x)) for x in all_spans(t, weights)] if _ANCHOR.search(t) else [] for t in texts]}
 
-    return docs.mapInArrow(common.over_texts(found, [f.name for f in rest], schema, text), schema)
+    return plain.mapInArrow(common.over_texts(found, schema.names[:-1], schema), schema).toDF(*rest, "spans")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a condition that rejects a text. A bounded sample shows what share of texts each rule rejects; its work is a
-constant for each character, not measured. The rules run in the order of rejections per work: a
-row that one rule rejects is not looked at by the later ones. The order changes the time, never the verdict, which is that no
-rule rejects.
+Each rule is a condition that rejects a text. A bounded sample shows what share of texts each rule rejects, and how much work it does
+there: the characters that its patterns read, the matches and words that they make, the windows hashed, and what is sorted where a
+window recurs, all counted on the sample's texts. The unit is one character read; the units of the other steps are constants. The
+rules run in the order of rejections per work: a row that one rule rejects is not looked at by the later ones. The order changes
+the time, never the verdict, which is that no rule rejects.
 
 Null and blank texts have no words, fail the base rule and are rejected. Rows with equal texts get equal results; further
 columns are kept by filter_documents(). An empty table gives an empty table. Windows of words are compared by 64-bit hashes.
@@ -57,6 +58,7 @@ def counts(text: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     without = lambda pattern: F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
     return {
+        "chars": F.char_length(text).cast("long"),
         "n_words": F.regexp_count(text, F.lit(common.WORD)).cast("long"),
         "word_chars": F.char_length(F.regexp_replace(text, common.BLANK_RUN, "")).cast("long"),
         "n_symbols": without(f"{SYMBOLS}+").cast("long"),
@@ -69,28 +71,42 @@ def counts(text: Column) -> dict[str, Column]:
     }
 
 
+#: Units of work, a character read being one: a match of a pattern, a word of an array, a window hashed, an element compared in a sort.
+MATCH, ITEM, HASH, COMPARE = 4, 8, 10, 3
+
+
+def _scan(*matched: str) -> Callable[[dict[str, Column]], Column]:
+    """The work of reading a text once for each of these counts."""
+    return lambda c: sum((c["chars"] + MATCH * c[n] for n in matched[1:]), c["chars"] + MATCH * c[matched[0]])
+
+
+def _windows(c: dict[str, Column]) -> Column:
+    n = F.greatest(c["n_words"] - WINDOW + 1, F.lit(0))
+    return _scan("n_words", "n_words")(c) + ITEM * c["n_words"] + HASH * n + F.when(c["n_repeat_words"] > 0, COMPARE * n * F.log2(n + 1)).otherwise(0)
+
+
 @dataclass(frozen=True)
 class Rule:
-    """rejects: a condition on the counts; reads: the counts it takes; work: units for each character of the text."""
+    """rejects: a condition on the counts; reads: the counts it takes; work: what it does to a text, from the text's counts."""
 
     name: str
     rejects: Callable[[dict[str, Column]], Column]
     reads: tuple[str, ...]
-    work: float
+    work: Callable[[dict[str, Column]], Column]
 
 
 BASE = (
-    Rule("few_words", lambda c: c["n_words"] < LEAST_WORDS, ("n_words",), 1.0),
-    Rule("repeats", lambda c: 100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"], ("n_words", "n_repeat_words"), 6.0),
+    Rule("few_words", lambda c: c["n_words"] < LEAST_WORDS, ("n_words",), _scan("n_words")),
+    Rule("repeats", lambda c: 100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"], ("n_words", "n_repeat_words"), _windows),
 )
 RULES = (
     *BASE,
-    Rule("symbols", lambda c: 10 * c["n_symbols"] > c["n_words"], ("n_words", "n_symbols"), 1.5),
-    Rule("word_length", lambda c: (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 20 * c["n_words"]), ("n_words", "word_chars"), 2.0),
-    Rule("same_lines", lambda c: (c["n_dup_lines"] >= 4) & (100 * c["n_dup_lines"] > 30 * c["n_lines"]), ("n_lines", "n_dup_lines"), 2.0),
-    Rule("echoes", lambda c: 100 * c["n_echoes"] > 30 * c["n_words"], ("n_words", "n_echoes"), 3.0),
-    Rule("shouts", lambda c: 10 * c["n_shouts"] > 3 * c["n_words"], ("n_words", "n_shouts"), 1.2),
-    Rule("capitals", lambda c: 100 * c["n_upper"] > 60 * c["word_chars"], ("word_chars", "n_upper"), 2.2),
+    Rule("symbols", lambda c: 10 * c["n_symbols"] > c["n_words"], ("n_words", "n_symbols"), _scan("n_words", "n_symbols")),
+    Rule("word_length", lambda c: (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 20 * c["n_words"]), ("n_words", "word_chars"), _scan("n_words", "n_words")),
+    Rule("same_lines", lambda c: (c["n_dup_lines"] >= 4) & (100 * c["n_dup_lines"] > 30 * c["n_lines"]), ("n_lines", "n_dup_lines"), lambda c: _scan("n_lines")(c) + ITEM * c["n_lines"]),
+    Rule("echoes", lambda c: 100 * c["n_echoes"] > 30 * c["n_words"], ("n_words", "n_echoes"), lambda c: _scan("n_words", "n_words")(c) + ITEM * c["n_words"]),
+    Rule("shouts", lambda c: 10 * c["n_shouts"] > 3 * c["n_words"], ("n_words", "n_shouts"), _scan("n_words", "n_shouts")),
+    Rule("capitals", lambda c: 100 * c["n_upper"] > 60 * c["word_chars"], ("word_chars", "n_upper"), _scan("n_words", "n_upper")),
 )
 
 
@@ -100,9 +116,11 @@ def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = S
     share = min(1.0, sample_rows / max(total, 1))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     c = counts(F.col("text"))
-    seen = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("chars"), *(F.coalesce(F.sum(r.rejects(c).cast("int")), F.lit(0)).alias(r.name) for r in rules)).first()
+    sums = [F.coalesce(F.sum(r.rejects(c).cast("int")), F.lit(0)).alias(f"r{i}") for i, r in enumerate(rules)]
+    sums += [F.coalesce(F.sum(r.work(c).cast("double")), F.lit(0.0)).alias(f"w{i}") for i, r in enumerate(rules)]
+    seen = sample.agg(F.count(F.lit(1)).alias("n"), *sums).first()
     n = max(seen["n"], 1)
-    found = [(r, seen[r.name] / n, r.work * max(seen["chars"], 1) / n) for r in rules]
+    found = [(r, seen[f"r{i}"] / n, max(seen[f"w{i}"], 1.0) / n) for i, r in enumerate(rules)]
     return sorted(found, key=lambda x: (-x[1] / x[2], x[2], x[0].name))
 
 

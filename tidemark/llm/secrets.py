@@ -55,7 +55,10 @@ def find(text: str) -> list[tuple[str, int, int]]:
 
 
 class Ledger:
-    """Scanned blobs by rule version, as a Parquet table at path; it is created by the first scan."""
+    """Scanned blobs as a Parquet table at path, with a folder for each rule version; it is created by the first scan.
+
+    Scans at the same time may both append a blob, and a batch may be appended again: known() has each blob once.
+    """
 
     SCHEMA = f"rule_version string, blob binary, findings {FINDINGS}"
 
@@ -68,7 +71,7 @@ class Ledger:
         return self.spark.read.schema(self.SCHEMA).parquet(self.path) if there else self.spark.createDataFrame([], self.SCHEMA)
 
     def known(self, rule_version: str) -> DataFrame:
-        return self.read().filter(F.col("rule_version") == rule_version)
+        return self.read().filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
 
 
 def address(text: Column) -> Column:
@@ -88,7 +91,7 @@ def scan(versions: DataFrame, ledger: Ledger, rule_version: str = RULE_VERSION,
 
     schema = f"blob binary, findings {FINDINGS}"
     new = unseen.mapInArrow(common.over_texts(found, ["blob"], schema), schema)
-    new.select(F.lit(rule_version).alias("rule_version"), "blob", "findings").write.mode("append").parquet(ledger.path)
+    new.select(F.lit(rule_version).alias("rule_version"), "blob", "findings").write.mode("append").partitionBy("rule_version").parquet(ledger.path)
     return addressed.drop(text).join(ledger.known(rule_version).select("blob", "findings"), "blob", "left")
 
 
