@@ -326,8 +326,40 @@ folded(
         next=f"r.a - 0.1::DOUBLE / sqrt(r.ga + pow({_res} * z.f, 2) + 1e-8::DOUBLE) * {_res} * z.f, r.b - 0.1::DOUBLE / sqrt(r.gb + pow({_res}, 2) + 1e-8::DOUBLE) * {_res}, r.ga + pow({_res} * z.f, 2), r.gb + pow({_res}, 2)",
     ),
 )
-add("o04_learning_rate", lambda a, d: D.page_hinkley(stream(a, d), "x", KEYS, ORDER, 500, 250).select("seq", C.learning_rate(F.col("ph_level")).alias("value")), None)
-folded("m04_linear_regression", K.Linear(2, rate=0.1), regression, lambda o: o.select("seq", "user_id", r("pred", 6).alias("pred"), r("y", 6).alias("y")))
+_PH = f""", a AS (SELECT *, count(*) {OVER} AS n, x - avg(x) {OVER} - 0.005 AS dv FROM s), b AS (SELECT *, sum(dv) {OVER} AS sm FROM a), c AS (SELECT *, sm - least(0, min(sm) {OVER}) AS st FROM b)"""
+add(
+    "o04_learning_rate",
+    lambda a, d: D.page_hinkley(stream(a, d), "x", KEYS, ORDER, 500, 250).select("seq", C.learning_rate(F.col("ph_level")).alias("value")),
+    _PH + " SELECT seq, CAST(CASE WHEN n < 30 OR st <= 250 THEN 0.01 WHEN st > 500 THEN 0.05 ELSE 0.02 END AS DOUBLE) AS value FROM c",
+)
+
+
+def fitted(x0: str, x1: str, target: str, out: str, rate: float, scale: bool = False, log: bool = False, weight: str = "") -> str:
+    """SQL of a linear or logistic model of two features by gradient steps, predicted before it learns.
+
+    scale: by what the user's rows have shown, before the row for its prediction, with it for learning; weight: rows without
+    any weight teach nothing.
+    """
+    some = f" FILTER ({weight} > 0)" if weight else ""
+    cols = []
+    for i, f in enumerate((x0, x1)):
+        for name, frame in (("p", BEFORE), ("q", OVER)):
+            value = f"CASE WHEN coalesce(var_pop(f{i}){some} {frame}, 0) < 1e-12::DOUBLE THEN 1 ELSE sqrt(var_pop(f{i}){some} {frame}) END"
+            cols.append(f"(f{i} - coalesce(avg(f{i}){some} {frame}, 0)) / {value} AS {name}{i}" if scale else f"f{i} AS {name}{i}")
+    squash = (lambda z: f"1 / (1 + exp(-({z})))") if log else (lambda z: z)
+    w = f"z.{weight}" if weight else "1"
+    res = "(" + squash("r.w0 * z.q0 + r.w1 * z.q1 + r.c") + f" - z.goal) * {w}"
+    at_first = f"({'0.5' if log else '0'} - goal) * {weight or 1}"
+    step = f"{rate}::DOUBLE"
+    return f""", g AS (SELECT *, CAST({x0} AS DOUBLE) AS f0, CAST({x1} AS DOUBLE) AS f1, CAST({target} AS DOUBLE) AS goal FROM s),
+z AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS i, {", ".join(cols)} FROM g),
+r AS (SELECT user_id, i, seq, goal, {'0.5' if log else '0.0'}::DOUBLE AS pred_, -{step} * {at_first} * q0 AS w0, -{step} * {at_first} * q1 AS w1, -{step} * {at_first} AS c FROM z WHERE i = 1
+UNION ALL SELECT z.user_id, z.i, z.seq, z.goal, {squash("r.w0 * z.p0 + r.w1 * z.p1 + r.c")}, r.w0 - {step} * {res} * z.q0, r.w1 - {step} * {res} * z.q1, r.c - {step} * {res} FROM r JOIN z ON z.user_id = r.user_id AND z.i = r.i + 1)
+SELECT seq, user_id, {out} FROM r"""
+
+
+_PRED = "round(pred_, 6) AS pred"
+folded("m04_linear_regression", K.Linear(2, rate=0.1), regression, lambda o: o.select("seq", "user_id", r("pred", 6).alias("pred"), r("y", 6).alias("y")), fitted("h / 24", "k / 100", "x / 500", _PRED + ", round(goal, 6) AS y", 0.1))
 folded(
     "m05_logistic_regression", K.Linear(1, rate=0.5, loss="log"), lambda s: s.select("user_id", "seq", F.array(F.col("h") / 24).alias("features"), y.cast("double").alias("y")), pred_only,
     _SGD.replace("0.0::DOUBLE AS pred_", "0.5::DOUBLE AS pred_").replace("r.a * z.f + r.b, {next}", "1 / (1 + exp(-(r.a * z.f + r.b))), {next}").format(
@@ -343,9 +375,10 @@ add(
     "m09_ftrl_resources",
     lambda a, d: run_batch(sparse_rows(stream(a, d)), K.Ftrl(most=3), KEYS, ORDER).groupBy("user_id").agg(F.max("n_features").cast("bigint").alias("features"), (F.max("n_features") / 3.0).alias("saturation"), (F.max("n_features") >= 3).alias("at_cap")),
 )
-folded("v01_scaled_pipeline", K.Linear(2, rate=0.1, scale=True), regression, pred_only)
-folded("v02_classification_pipeline", K.Linear(2, rate=0.1, loss="log", scale=True), labelled, pred_only)
-folded("v04_weighted_pipeline", K.Linear(2, rate=0.1, scale=True, weighted=True), lambda s: regression(s, "w"), pred_only)
+_SCALED = fitted("h / 24", "k / 100", "x / 500", _PRED, 0.1, scale=True)
+folded("v01_scaled_pipeline", K.Linear(2, rate=0.1, scale=True), regression, pred_only, _SCALED)
+folded("v02_classification_pipeline", K.Linear(2, rate=0.1, loss="log", scale=True), labelled, pred_only, fitted("h / 24", "x / 500", "CASE WHEN y THEN 1 ELSE 0 END", _PRED, 0.1, scale=True, log=True))
+folded("v04_weighted_pipeline", K.Linear(2, rate=0.1, scale=True, weighted=True), lambda s: regression(s, "w"), pred_only, fitted("h / 24", "k / 100", "x / 500", _PRED, 0.1, scale=True, weight="w"))
 by_user("v05_progressive_regression", lambda: M.mae(t, p), "avg(abs(x - pred))", predicted=True)
 by_row("v06_progressive_steps", lambda: M.mae(t, p, W), f"avg(abs(x - pred)) {OVER}", predicted=True)
 add(
@@ -365,7 +398,7 @@ class Careful(K.Linear):
     fragile = True
 
 
-folded("v03_transactional_learning", Careful(2, rate=0.1, scale=True), regression, pred_only)
+folded("v03_transactional_learning", Careful(2, rate=0.1, scale=True), regression, pred_only, _SCALED)
 
 
 def live_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,7 +442,13 @@ add(
     f""", a AS (SELECT *, count(*) {OVER} AS n, x - avg(x) {OVER} - 0.005 AS dv FROM s), b AS (SELECT *, sum(dv) {OVER} AS sm FROM a), c AS (SELECT *, sm - least(0, min(sm) {OVER}) AS st FROM b)
 SELECT seq, round(st, 3) AS ph_stat, CASE WHEN n < 30 OR st <= 250 THEN 'None' WHEN st > 500 THEN 'Drift' ELSE 'Warning' END AS ph_level FROM c""",
 )
-folded("r01_page_hinkley_forgetting", K.PageHinkley(500, 250, 0.99), lambda s: s.select("user_id", "seq", "x"), lambda o: o.select("seq", "level", r("statistic", 3).alias("statistic")))
+folded(
+    "r01_page_hinkley_forgetting", K.PageHinkley(500, 250, 0.99), lambda s: s.select("user_id", "seq", "x"), lambda o: o.select("seq", "level", r("statistic", 3).alias("statistic")),
+    f""", z AS (SELECT user_id, seq, x - avg(x) {OVER} - 0.005 AS dv, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS i FROM s),
+r AS (SELECT user_id, seq, i, dv AS sm, least(0, dv) AS low FROM z WHERE i = 1
+UNION ALL SELECT z.user_id, z.seq, z.i, 0.99::DOUBLE * r.sm + z.dv, least(r.low, 0.99::DOUBLE * r.sm + z.dv) FROM r JOIN z ON z.user_id = r.user_id AND z.i = r.i + 1)
+SELECT seq, CASE WHEN i < 30 OR sm - low <= 250 THEN 'None' WHEN sm - low > 500 THEN 'Drift' ELSE 'Warning' END AS level, round(sm - low, 3) AS statistic FROM r""",
+)
 folded("r02_adwin", K.Adwin(), lambda s: s.select("user_id", "seq", (x / 500).alias("x")), lambda o: o.select("seq", "level", "window", r("window_mean", 6).alias("window_mean")))
 _KS = """, n AS (SELECT user_id, x, (row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1) // 20 + 1 AS wid FROM s), f AS (SELECT user_id, wid, list(x) AS xs FROM n GROUP BY ALL HAVING count(*) = 20),
 pr AS (SELECT b.user_id, b.wid, a.xs AS xa, b.xs AS xb FROM f a JOIN f b ON a.user_id = b.user_id AND b.wid = a.wid + 1),
@@ -471,8 +510,31 @@ scored = lambda a, d: B.linucb_scores(context(stream(a, d)).select("seq", "c0",
 _SCORE = _LIN + ", q AS (SELECT seq, m.arm AS scored_arm, (c0 * (a_11 * b_0 - a_01 * b_1) + c1 * (a_00 * b_1 - a_01 * b_0)) / (a_00 * a_11 - a_01 * a_01) AS exploit, 1.5 * sqrt(greatest(0, (c0 * c0 * a_11 - 2 * c0 * c1 * a_01 + c1 * c1 * a_00) / (a_00 * a_11 - a_01 * a_01))) AS bonus FROM c CROSS JOIN m) "
 add("b06_linucb_scores", lambda a, d: scored(a, d).select("seq", "scored_arm", r("exploit").alias("exploit"), r("bonus").alias("bonus"), r("score").alias("score")), _SCORE + "SELECT seq, scored_arm, round(exploit, 4) AS exploit, round(bonus, 4) AS bonus, round(exploit + bonus, 4) AS score FROM q")
 add("b07_linucb_select", lambda a, d: B.choose(scored(a, d).withColumn("score", r("score", 9)), ["seq"]), _SCORE + "SELECT seq, arg_max(scored_arm, {'s': round(exploit + bonus, 9), 'a': -scored_arm}) AS chosen FROM q GROUP BY seq")
-add("b08_condition", lambda a, d: B.condition(ucb_state(a, d), "arm", 2).select("arm", r("condition", 6).alias("condition")))
-folded("b09_linucb_online", K.LinUcb(5, 2), lambda s: s.select("user_id", "seq", F.array(F.col("h") / 24, F.col("k") / 100).alias("context"), "arm", "reward"), lambda o: o.select("seq", "chosen", F.transform("scores", lambda z: F.round(z, 6)).alias("scores")))
+add(
+    "b08_condition",
+    lambda a, d: B.condition(ucb_state(a, d), "arm", 2).select("arm", r("condition", 4).alias("condition")),
+    _LIN + ", l AS (SELECT arm, a_00 AS p, a_11 - a_01 * a_01 / a_00 AS q FROM m) SELECT arm, round(greatest(p, q) / least(p, q), 4) AS condition FROM l",
+)
+
+
+def _online_scores(arms: int) -> str:
+    """SQL of each arm's score by the sums over the user's rows before: A and b of two features, A inverted in closed form."""
+    total = lambda v, k: f"coalesce(sum({v}) FILTER (arm = {k}) {BEFORE}, 0)"
+    sums = ", ".join(f"1 + {total('c0 * c0', k)} AS p{k}, {total('c0 * c1', k)} AS o{k}, 1 + {total('c1 * c1', k)} AS q{k}, {total('c0 * reward', k)} AS u{k}, {total('c1 * reward', k)} AS v{k}" for k in range(arms))
+    score = ", ".join(f"(c0 * (q{k} * u{k} - o{k} * v{k}) + c1 * (p{k} * v{k} - o{k} * u{k})) / (p{k} * q{k} - o{k} * o{k}) + sqrt(greatest(0, (c0 * c0 * q{k} - 2 * c0 * c1 * o{k} + c1 * c1 * p{k}) / (p{k} * q{k} - o{k} * o{k}))) AS s{k}" for k in range(arms))
+    first = "CASE " + " ".join(f"WHEN round(s{k}, 9) = round(greatest({', '.join(f's{j}' for j in range(arms))}), 9) THEN {k}" for k in range(arms)) + " END"
+    return f", c AS (SELECT *, h / 24 AS c0, k / 100 AS c1 FROM s), m AS (SELECT seq, c0, c1, {sums} FROM c), q AS (SELECT seq, {score} FROM m) SELECT seq, {first} AS chosen, {', '.join(f'round(s{k}, 6) AS score_{k}' for k in range(arms))} FROM q"
+
+
+def online_scores(o: DataFrame) -> DataFrame:
+    best = lambda z: F.array_position(z, F.array_max(z)) - 1
+    return o.select("seq", best(F.transform("scores", lambda z: r(z, 9))).cast("int").alias("chosen"), *(r(F.get("scores", F.lit(k)), 6).alias(f"score_{k}") for k in range(5)))
+
+
+folded(
+    "b09_linucb_online", K.LinUcb(5, 2), lambda s: s.select("user_id", "seq", F.array(F.col("h") / 24, F.col("k") / 100).alias("context"), "arm", "reward"), online_scores,
+    _online_scores(5),
+)
 
 
 # ---- decisions: each event decides, the user's next event is its outcome
