@@ -1,8 +1,9 @@
 """The keyed fold: operators whose next state depends on the last one, the same step for batches and streams.
 
 A step holds its parameters and makes states; step(state, row) changes the state it is given and returns an output tuple, or raises
-Reject, which leaves the state as it was. In a batch each key's rows are sorted by the order columns and folded in one Python
-group; a stream keeps each key's state in the state store. Streams are parallel by key: a key's fold is sequential by its nature.
+Reject, which leaves the state as it was. In a batch, partitions are sorted by key and order, and a task carries the state from row
+to row and from one Arrow batch to the next, so that a key of any length takes the memory of a batch; a stream keeps each key's
+state in the state store. Streams are parallel by key: a key's fold is sequential by its nature.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator, Sequence
 from typing import Any, Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
@@ -29,16 +31,21 @@ class Step(Protocol):
     def step(self, state: Any, row: Any) -> tuple | None: ...
 
 
+def _taken(step: Step, state: Any, row: Any) -> tuple[Any, tuple | None]:
+    """The state after a row, and the row's output; as before and None for a row that is rejected."""
+    trial = copy.deepcopy(state) if getattr(step, "fragile", False) else state
+    try:
+        got = step.step(trial, row)
+    except Reject:
+        return state, None
+    return trial, got
+
+
 def fold_rows(step: Step, state: Any, rows: pd.DataFrame) -> tuple[Any, list[tuple]]:
     """The state after rows, and each row's output with its index among rows."""
     out = []
     for i, row in enumerate(rows.itertuples(index=False)):
-        trial = copy.deepcopy(state) if getattr(step, "fragile", False) else state
-        try:
-            got = step.step(trial, row)
-        except Reject:
-            continue
-        state = trial
+        state, got = _taken(step, state, row)
         if got is not None:
             out.append((i, *got))
     return state, out
@@ -58,15 +65,30 @@ def _framed(rows: pd.DataFrame, out: list[tuple], kept: list[str], made: list[st
 
 def run_batch(df: DataFrame, step: Step, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """keys, order and the step's output for each row that it doesn't reject."""
-    schema, made = _schemas(df, step, keys, order)
-    kept = [f.name for f in schema][: len(schema) - len(made)]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        _, out = fold_rows(step, step.init(), rows)
-        return _framed(rows, out, kept, made).astype(object)
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return df.groupBy(*keys).applyInPandas(fold, schema)
+    schema, made = _schemas(df, step, keys, order)
+    arrow = to_arrow_schema(schema)
+    kept = schema.names[: len(schema) - len(made)]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = state = None
+        for batch in batches:
+            at, out = [], []
+            of = zip(*(batch.column(k).to_pylist() for k in keys))
+            for i, (own, row) in enumerate(zip(of, batch.to_pandas().itertuples(index=False))):
+                if state is None or own != key:
+                    key, state = own, step.init()
+                state, got = _taken(step, state, row)
+                if got is not None:
+                    at.append(i)
+                    out.append(got)
+            rows = [batch.column(k).take(pa.array(at, pa.int64())) for k in kept]
+            columns = zip(*out) if out else [[]] * len(made)
+            rows += [pa.array(list(c), arrow.field(n).type, from_pandas=True) for n, c in zip(made, columns)]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(rows, arrow)], schema=arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(fold, schema)
 
 
 def run_stream(df: DataFrame, step: Step, keys: Sequence[str], order: Sequence[str], late: str = "reject") -> DataFrame:
