@@ -147,11 +147,34 @@ def test_error_policies(spark):
 def test_hashing_keeps_sums_and_signs(spark):
     df = spark.createDataFrame([([(1, 2.0), (2, 3.0), (99, -1.0)],)], "f array<struct<id:bigint,value:double>>")
     row = df.select(P.hashed(F.col("f"), 8, 3, False).alias("v"), P.hashed(F.col("f"), 8, 3).alias("w")).first()
-    assert len(row.v) == 8 and sum(row.v) == 4.0 and sorted(map(abs, row.w)) == pytest.approx(sorted(map(abs, row.w)))
+    one = spark.range(64).select("id", P.hashed(F.array(F.struct("id", F.lit(1.0).alias("value"))), 8, 3).alias("u"))
+    unit = {x.id: np.array(x.u) for x in one.withColumn("id", F.when(F.col("id") == 0, 99).otherwise(F.col("id"))).collect()}
+    assert len(row.v) == 8 and sum(row.v) == 4.0
+    assert all(np.abs(u).sum() == 1 for u in unit.values()) and {u.sum() for u in unit.values()} == {-1.0, 1.0}
     with pytest.raises(ValueError):
         P.hashed(F.col("f"), 0)
 
 
+def test_names_that_meet_are_merged(spark):
+    df = spark.createDataFrame([(1, [(7, 1.0), (3, 2.0), (7, 0.5)]), (2, []), (3, None)], "k int, f array<struct<id:bigint,value:double>>")
+    got = {x.k: x.m and [tuple(f) for f in x.m] for x in df.select("k", P.merged(F.col("f")).alias("m")).collect()}
+    assert got == {1: [(3, 2.0), (7, 1.5)], 2: [], 3: None}
+
+
+def test_feedback_keeps_to_its_capacities(spark):
+    d = spark.createDataFrame([(i, "go", 0, 100, 1, i % 2) for i in range(6)], "id int, action string, created_at int, expires_at int, generation int, user int")
+    rows = [(0, "go", 1.0, 1), (2, "go", 1.0, 2), (4, "go", 1.0, 3), (0, "go", 1.0, 4), (4, "go", 1.0, 5), (4, "no", 1.0, 6), (1, "gone", 1.0, 7), (1, "go", 1.0, 8), (0, "gone", 1.0, 9), (9, "go", 1.0, 10), (3, "go", float("nan"), 11)]
+    o = spark.createDataFrame([(i, a, x, seq, 1, seq) for i, a, x, seq in rows], "decision_id int, action string, reward double, observed_at int, generation int, seq int")
+    status = lambda *a: [x.status for x in B.feedback(d, o, *a).orderBy("seq").collect()]
+    over, large = "CompletedCapacityExceeded", "ActionTooLarge"
+    assert status(["user"], 2, 3) == ["Completed", "Completed", over, "DuplicateFeedback", over, "ActionMismatch", large, "Completed", large, "UnknownDecision", "NonFiniteReward"]
+    assert status()[2:9] == ["Completed", "DuplicateFeedback", "DuplicateFeedback", "DuplicateFeedback", "ActionMismatch", "Completed", "DuplicateFeedback"]
+    assert B.feedback(d, o, ["user"], 2, 3).columns == B.feedback(d, o).columns
+    for bad in ([], 2), (["user"], 0), ([], None, 0):
+        with pytest.raises(ValueError):
+            B.feedback(d, o, *bad)
+
+
 def test_shuffled_partitions_give_equal_results(spark):
     s = queries.stream(spark, SF).select("user_id", "seq", "x")
     key = lambda df: sorted(map(repr, df.collect()))

@@ -114,28 +114,45 @@ def register(decisions: DataFrame, order: str) -> DataFrame:
     return decisions.withColumn("receipt", F.when(F.col("expires_at") < F.col("created_at"), "InvalidExpiry").otherwise(receipt))
 
 
-def feedback(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
+def feedback(decisions: DataFrame, outcomes: DataFrame, ledger: Names = (), max_completed: int | None = None, max_action_bytes: int | None = None) -> DataFrame:
     """outcomes(decision_id, action, reward, observed_at, generation, seq) with their status against registered decisions(id, ...).
 
     The checks come in a fixed order. Of the outcomes that pass, the first by seq completes the decision; all later ones are
     duplicates. One left join on the id; the checks are conditions on its row.
+
+    max_completed: so many decisions of a ledger (columns of decisions) are completed, by seq; the others stay pending, and their
+    outcomes that pass exceed the capacity. max_action_bytes: an outcome whose action, as text, takes more is too large.
     """
-    d = decisions.select(F.col("id").alias("decision_id"), *(F.col(c).alias(f"d_{c}") for c in ("action", "created_at", "expires_at", "generation")), F.lit(True).alias("_known"))
+    if max_completed is not None and (max_completed < 1 or not ledger):
+        raise ValueError("a capacity is at least 1 and counts by the columns of a ledger")
+    if max_action_bytes is not None and max_action_bytes < 1:
+        raise ValueError("an action has room for one byte at least")
+    d = decisions.select(F.col("id").alias("decision_id"), *(F.col(c).alias(f"d_{c}") for c in ("action", "created_at", "expires_at", "generation")), *(F.col(c).alias(f"_ledger_{c}") for c in ledger), F.lit(True).alias("_known"))
     met = outcomes.join(d, "decision_id", "left")
     x = F.col("reward")
+    early = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "NonFiniteReward")
+    if max_action_bytes is not None:
+        early = early.when(F.octet_length(F.col("action").cast("string")) > max_action_bytes, "ActionTooLarge")
     fault = (
-        F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "NonFiniteReward")
-        .when(F.col("_known").isNull(), "UnknownDecision")
+        early.when(F.col("_known").isNull(), "UnknownDecision")
         .when(F.col("observed_at") < F.col("d_created_at"), "FeedbackBeforeDecision")
         .when(F.col("observed_at") > F.col("d_expires_at"), "FeedbackExpired")
         .when(F.col("generation") != F.col("d_generation"), "GenerationMismatch")
         .when(F.col("action") != F.col("d_action"), "ActionMismatch")
     )
-    met = met.withColumn("_fault", fault)
-    before = ordered(["decision_id"], ["seq"]).rowsBetween(Window.unboundedPreceding, -1)
-    done = F.coalesce(F.max(F.col("_fault").isNull()).over(before), F.lit(False))
-    finite = F.coalesce(F.col("_fault") != "NonFiniteReward", F.lit(True))
-    return met.withColumn("status", F.when(finite & done, "DuplicateFeedback").otherwise(F.coalesce("_fault", F.lit("Completed")))).drop("_fault", "_known")
+    met = met.withColumns({"_early": early, "_fault": fault})
+    of_decision = ordered(["decision_id"], ["seq"])
+    done = F.coalesce(F.max(F.col("_fault").isNull()).over(of_decision.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    met = met.withColumns({"_done": done, "_kept": F.lit(True)})
+    if max_completed is not None:
+        first = F.col("_fault").isNull() & ~F.col("_done")
+        rank = F.sum(first.cast("bigint")).over(ordered([f"_ledger_{c}" for c in ledger], ["seq"]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        met = met.withColumn("_over", first & (rank > max_completed))
+        met = met.withColumn("_kept", ~F.max("_over").over(Window.partitionBy("decision_id")))
+    again = F.col("_early").isNull() & F.col("_done") & F.col("_kept")
+    passed = F.when(F.col("_kept"), "Completed").otherwise("CompletedCapacityExceeded")
+    status = F.when(again, "DuplicateFeedback").otherwise(F.coalesce("_fault", passed))
+    return met.withColumn("status", status).drop("_early", "_fault", "_known", "_done", "_kept", "_over", *(f"_ledger_{c}" for c in ledger))
 
 
 def clear_expired(decisions: DataFrame, completed: DataFrame, now: Column) -> DataFrame:
@@ -143,6 +160,11 @@ def clear_expired(decisions: DataFrame, completed: DataFrame, now: Column) -> Da
     return decisions.join(completed.select(F.col("decision_id").alias("id")), "id", "left_anti").filter(F.col("expires_at") < now)
 
 
+def clear_completed_before(completed: DataFrame, before: Column) -> DataFrame:
+    """The completed decisions whose outcome was observed before a time."""
+    return completed.filter(F.col("observed_at") < before)
+
+
 def bounded(df: DataFrame, column: str, most_bytes: int) -> DataFrame:
     """The rows whose value takes no more than so many bytes."""
     return df.filter(F.octet_length(column) <= most_bytes)

@@ -77,3 +77,10 @@ def hashed(features: Column, dimension: int = 1024, seed: int = 0, signed: bool
 
 def hash_name(c: Column, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), c)
+
+
+def merged(features: Column) -> Column:
+    """Features in order of their ids; the values of ids that recur, by equal names or by names that collide, are added."""
+    ids = F.array_sort(F.array_distinct(F.transform(features, lambda f: f["id"])))
+    total = lambda i: F.aggregate(F.filter(features, lambda f: f["id"] == i), F.lit(0.0), lambda a, f: a + f["value"])
+    return F.transform(ids, lambda i: F.struct(i.alias("id"), total(i).alias("value")))

@@ -233,6 +233,12 @@ add(
 named = lambda s: s.select("seq", "user_id", F.array(F.struct(P.hash_name(F.concat(F.lit("type="), "event_type")).alias("id"), F.lit(1.0).alias("value")), F.struct(P.hash_name(F.lit("hour")).alias("id"), F.col("h").alias("value"))).alias("features"), "x", "y")
 add("p12_feature_hasher", lambda a, d: named(stream(a, d)).select("seq", P.hashed(F.col("features"), 16).alias("vector")))
 add("p13_hashed_names", lambda a, d: named(stream(a, d)).select("seq", F.transform("features", lambda f: f["id"]).alias("ids")))
+twice = lambda s: named(s).withColumn("features", F.concat("features", F.transform("features", lambda f: F.struct(f["id"].alias("id"), F.lit(0.5).alias("value")))))
+add(
+    "p13_merged_names",
+    lambda a, d: twice(stream(a, d)).select("seq", P.merged(F.col("features")).alias("m")).select("seq", F.size("m").cast("bigint").alias("n"), F.array_min("m.value").alias("lo"), F.array_max("m.value").alias("hi")),
+    "SELECT seq, CAST(2 AS BIGINT) AS n, least(1.5, h + 0.5)::DOUBLE AS lo, greatest(1.5, h + 0.5)::DOUBLE AS hi FROM s",
+)
 
 # ---- losses and schedules
 by_row("l01_squared_error", lambda: C.squared_loss(p, t), "0.5 * (pred - x) * (pred - x)", predicted=True)
@@ -572,6 +578,18 @@ add(
     lambda a, d: B.clear_expired(decisions(stream(a, d)), marked(a, d).filter("status = 'Completed'"), F.lit(8000)).select("id", "expires_at"),
     _OUT + "SELECT id, expires_at FROM d WHERE expires_at < 8000 AND NOT EXISTS (SELECT 1 FROM f WHERE f.decision_id = d.id AND status = 'Completed')",
 )
+add(
+    "b12_feedback_capacity",
+    lambda a, d: (lambda s: B.feedback(decisions(s), outcomes(s), KEYS, 5))(stream(a, d)).select("decision_id", "seq", "status"),
+    _OUT + """, g AS (SELECT f.*, sum(CASE WHEN status = 'Completed' THEN 1 ELSE 0 END) OVER (PARTITION BY d.user_id ORDER BY f.seq) AS n FROM f LEFT JOIN d ON d.id = f.decision_id),
+lost AS (SELECT DISTINCT decision_id FROM g WHERE status = 'Completed' AND n > 5)
+SELECT g.decision_id, g.seq, CASE WHEN lost.decision_id IS NULL THEN g.status ELSE coalesce(g.fault, 'CompletedCapacityExceeded') END AS status FROM g LEFT JOIN lost ON lost.decision_id = g.decision_id""",
+)
+add(
+    "b13_clear_completed",
+    lambda a, d: B.clear_completed_before(marked(a, d).filter("status = 'Completed'"), F.lit(8000)).select("decision_id", "observed_at"),
+    _OUT + "SELECT decision_id, observed_at FROM f WHERE status = 'Completed' AND observed_at < 8000",
+)
 add("b14_ledger_counts", lambda a, d: marked(a, d).groupBy("status").agg(F.count(F.lit(1)).alias("n")), _OUT + "SELECT status, count(*) AS n FROM f GROUP BY status")
 add("b15_bounded_values", lambda a, d: B.bounded(stream(a, d), "event_type", 5).select("seq", "event_type"), "SELECT seq, event_type FROM s WHERE octet_length(encode(event_type)) <= 5")
 
