@@ -376,10 +376,16 @@ folded(
 sparse_rows = lambda s: named(s).select("user_id", "seq", "features", (x / 500).alias("y"))
 folded("m06_ftrl_regressor", K.Ftrl(), sparse_rows, pred_only)
 folded("m07_ftrl_classifier", K.Ftrl(classify=True), lambda s: named(s).select("user_id", "seq", "features", y.cast("double").alias("y")), pred_only)
-folded("m08_feature_cap", K.Ftrl(most=3, ignore=True), sparse_rows, lambda o: o.select("seq", "user_id", "n_features"))
+counted = lambda o: o.select("seq", "user_id", "n_features")
+# A user's first row of each event type brings a feature; the hour is one from the first row on.
+_TYPES = "nt AS (SELECT seq, user_id, event_type, min(seq) OVER (PARTITION BY user_id, event_type) AS born FROM s), rk AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY born) AS nth, CAST(sum(CASE WHEN seq = born THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY seq) AS INT) AS types FROM nt) "
+_COUNTED = ", " + _TYPES + "SELECT seq, user_id, least(3, 1 + types) AS n_features FROM rk"
+add("m08_feature_cap", lambda a, d: counted(run_batch(sparse_rows(stream(a, d)), K.Ftrl(most=3, ignore=True), KEYS, ORDER)), _COUNTED)
+add("m08_feature_reject", lambda a, d: counted(run_batch(sparse_rows(stream(a, d)), K.Ftrl(most=3), KEYS, ORDER)), _COUNTED + " WHERE nth <= 2")
 add(
     "m09_ftrl_resources",
     lambda a, d: run_batch(sparse_rows(stream(a, d)), K.Ftrl(most=3), KEYS, ORDER).groupBy("user_id").agg(F.max("n_features").cast("bigint").alias("features"), (F.max("n_features") / 3.0).alias("saturation"), (F.max("n_features") >= 3).alias("at_cap")),
+    ", " + _TYPES + "SELECT user_id, CAST(least(3, 1 + max(types)) AS BIGINT) AS features, least(3, 1 + max(types)) / 3.0::DOUBLE AS saturation, max(types) >= 2 AS at_cap FROM rk GROUP BY user_id",
 )
 _SCALED = fitted("h / 24", "k / 100", "x / 500", _PRED, 0.1, scale=True)
 folded("v01_scaled_pipeline", K.Linear(2, rate=0.1, scale=True), regression, pred_only, _SCALED)
