@@ -374,8 +374,26 @@ folded(
     ),
 )
 sparse_rows = lambda s: named(s).select("user_id", "seq", "features", (x / 500).alias("y"))
-folded("m06_ftrl_regressor", K.Ftrl(), sparse_rows, pred_only)
-folded("m07_ftrl_classifier", K.Ftrl(classify=True), lambda s: named(s).select("user_id", "seq", "features", y.cast("double").alias("y")), pred_only)
+
+
+def ftrl(goal: str, log: bool = False) -> str:
+    """SQL of FTRL by recursion over a user's rows: a column pair z, n for each event type, the hour and the intercept (last)."""
+    values = [f"CASE WHEN event_type = '{c}' THEN 1.0 ELSE 0.0 END::DOUBLE" for c in EVENT_TYPES] + ["h::DOUBLE", "1.0::DOUBLE"]
+    ks = range(len(values))
+    each = lambda form: ", ".join(form.format(k=k, l1=0 if k == ks[-1] else 1) for k in ks)
+    weight = each("CASE WHEN abs(r.z{k}) <= {l1} OR r.n{k} = 0 THEN 0 ELSE -(r.z{k} - {l1} * sign(r.z{k})) / (1 + (1 + sqrt(r.n{k})) / 0.1::DOUBLE) END AS w{k}")
+    total = " + ".join(f"v{k} * w{k}" for k in ks)
+    moved = each("z{k} + res * v{k} - (sqrt(n{k} + (res * v{k}) * (res * v{k})) - sqrt(n{k})) / 0.1::DOUBLE * w{k}, n{k} + (res * v{k}) * (res * v{k})")
+    rows = ", ".join(f"{v} AS v{k}" for k, v in enumerate(values))
+    return f""", g AS (SELECT user_id, seq, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS i, {goal}::DOUBLE AS goal, {rows} FROM s),
+r AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS seq, 0::DOUBLE AS p, {each("0::DOUBLE AS z{k}, 0::DOUBLE AS n{k}")} FROM g WHERE i = 1
+UNION ALL SELECT user_id, i, seq, p, {moved} FROM (SELECT *, p - goal AS res FROM (SELECT *, {f"1 / (1 + exp(-({total})))" if log else total} AS p FROM
+(SELECT g.*, {each("r.z{k}, r.n{k}")}, {weight} FROM r JOIN g ON g.user_id = r.user_id AND g.i = r.i + 1))))
+SELECT seq, user_id, round(p, 6) AS pred FROM r WHERE i > 0"""
+
+
+folded("m06_ftrl_regressor", K.Ftrl(), sparse_rows, pred_only, ftrl("x / 500"))
+folded("m07_ftrl_classifier", K.Ftrl(classify=True), lambda s: named(s).select("user_id", "seq", "features", y.cast("double").alias("y")), pred_only, ftrl("CASE WHEN y THEN 1 ELSE 0 END", True))
 counted = lambda o: o.select("seq", "user_id", "n_features")
 # A user's first row of each event type brings a feature; the hour is one from the first row on.
 _TYPES = "nt AS (SELECT seq, user_id, event_type, min(seq) OVER (PARTITION BY user_id, event_type) AS born FROM s), rk AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY born) AS nth, CAST(sum(CASE WHEN seq = born THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY seq) AS INT) AS types FROM nt) "
