@@ -55,6 +55,32 @@ def test_a_shared_cache_never_changes_what_the_library_gives():
         assert list(np.frombuffer(ids, "<u4")) == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_a_part_before_a_blank_is_cut_there_only_where_the_text_may_be():
+    in_each_order(["a b\n", "a b\n c", "a b c"])
+    in_each_order(["a ", "a  b", "a b"])
+    in_each_order(["a\t b", "\t b", "b a\u2060 b", "b a\u2060"])
+
+
+def test_plain_words_and_their_marks_need_no_regular_expression(monkeypatch):
+    from tidemark.llm import tokens
+
+    class Counted:
+        asked = 0
+
+        def fullmatch(self, part, kept=tokens._SIMPLE):
+            self.asked += 1
+            return kept.fullmatch(part)
+
+    e, simple = Encoder(fx.vocabulary()), Counted()
+    monkeypatch.setattr(tokens, "_SIMPLE", simple)
+    text = " plain words, of one line. Some again!! words, plain"
+    assert list(np.frombuffer(e.ids([text])[0], "<u4")) == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert simple.asked == 0
+    text = " it's (marked) ñandú's"
+    assert list(np.frombuffer(e.ids([text])[0], "<u4")) == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert simple.asked == 3
+
+
 def expected(rows, end):
     from tokenizers import Tokenizer
 

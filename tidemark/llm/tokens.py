@@ -14,15 +14,18 @@ from array import array
 MOST_CACHED, LONGEST_CACHED = 1_200_000, 48
 #: A space after anything that some Unicode version takes for a blank doesn't part the text.
 UNSURE = "\\s\x1c-\x1f\x85\xa0\u180e\u200b-\u200f\u2028\u2029\u2060\ufeff"
-_DOUBLE, _CUT = re.compile(f"[{UNSURE}] "), re.compile(f"(?<![{UNSURE}]) ")
-#: A space after each ASCII character of UNSURE.
-_ASCII_DOUBLE = [f"{c} " for c in " \n\r\t\x0b\x0c\x1c\x1d\x1e\x1f"]
+_CUT, _UNSURE = re.compile(f"(?<![{UNSURE}]) "), re.compile(f"[{UNSURE}]")
 #: Letters that all Unicode versions take for such, and marks that make pieces of their own after a letter.
 _LETTERS, _MARKS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", re.escape(string.punctuation)
 #: A word and marks, and perhaps another word and marks on the next line.
 _SIMPLE = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)(?:\n([{_LETTERS}]+)([{_MARKS}]*))?")
 
 
+def _open(part: str) -> bool:
+    """Whether a part is empty or ends with one of UNSURE."""
+    return not part or _UNSURE.match(part, len(part) - 1) is not None
+
+
 class Encoder:
     """ids(texts) gives each text's ids as little-endian unsigned 32-bit numbers in bytes, the same as the library's plain call."""
 
@@ -40,14 +43,16 @@ class Encoder:
         self.forget()
         self.line_end = self._encode(["\n"])[0]
         # The vocabulary writes bytes that are no visible Latin-1 characters as those from U+0100 on, in order.
-        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.mark = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(seen))}
+        self.visible = np.arange(256, dtype="<u2")
+        unseen = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]
+        self.visible[unseen] = np.arange(256, 256 + len(unseen))
+        self.space = chr(self.visible[32])
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space
-        self.spaced[[i for t, i in vocabulary.items() if t.startswith(chr(self.mark[32]))]] = True
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(self.space)]] = True
 
     def forget(self) -> None:
-        self.cache: dict[str, bytes] = {}  # of parts and words after a space
+        self.cache: dict[str, bytes] = {}  # of parts and words after a space; none is empty or ends with one of UNSURE
         self.heads: dict[str, bytes] = {}  # of words without one: a text's first, and those after a line end
         self.tails: dict[str, bytes] = {}  # of marks after a letter
 
@@ -62,14 +67,16 @@ class Encoder:
         return parts and [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _visible(self, text: str) -> str:
-        return text.replace(" ", chr(self.mark[32])) if text.isascii() else text.encode().decode("latin-1").translate(self.mark)
+        import numpy as np
+
+        return text.replace(" ", self.space) if text.isascii() else self.visible[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of words of letters, each after a space. No merge joins a letter and a space, so they are encoded as one piece."""
         import numpy as np
 
-        ids = np.array(self.bare.encode_batch_fast([self._visible(" " + " ".join(words))], add_special_tokens=False)[0].ids, "<u4")
-        ends, flat = [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)], ids.tobytes()
+        flat = array("I", self.bare.encode_batch_fast([self._visible(" " + " ".join(words))], add_special_tokens=False)[0].ids).tobytes()
+        ends = [*(4 * np.flatnonzero(self.spaced[np.frombuffer(flat, "<u4")])).tolist(), len(flat)]
         return [flat[s:e] for s, e in zip(ends, ends[1:])]
 
     def _first(self, word: str) -> bytes:
@@ -101,40 +108,65 @@ class Encoder:
         found = _SIMPLE.fullmatch(part) if len(part) <= LONGEST_CACHED else None
         return self._first(found[1]) + self._rest(found) if found else self._encode([part])[0]
 
-    def _learn(self, parts: list[str]) -> list[bytes]:
-        """The ids of parts, each after a space; those of short ones go into the cache."""
-        cache, out, rest = self.cache, [], []
-        found = [_SIMPLE.fullmatch(part) if len(part) <= LONGEST_CACHED else None for part in parts]
-        new = [w for w in dict.fromkeys(m[1] for m in found if m) if w not in cache]
-        if new:
-            cache.update(zip(new, self._words(new)))
-        for at, (part, m) in enumerate(zip(parts, found)):
-            ids = cache.get(part)
-            if ids is None:
-                if m:
-                    ids = cache[part] = cache[m[1]] + self._rest(m)
-                else:
+    def _learn(self, parts: list[str], inner: int) -> list[bytes] | None:
+        """The ids of parts, each after a space; those of short ones that don't end with one of UNSURE go into the cache.
+
+        None if one of the first inner parts is empty or ends so, since the space that follows it doesn't part the text then.
+        """
+        cache, words, marked, rest = self.cache, [], [], []
+        for at, part in enumerate(parts):
+            # The plain cases without a regular expression: ASCII letters, perhaps marks.
+            short, core, found = len(part) <= LONGEST_CACHED, "", None
+            if short and part.isascii():
+                if part.isalpha():
+                    words.append(part)
+                    continue
+                core = part.rstrip(string.punctuation)
+            if not core.isalpha():
+                if not (found := _SIMPLE.fullmatch(part) if short else None):
+                    if at < inner and _open(part):
+                        return None
                     rest.append(at)
-            out.append(ids)
+                    continue
+                core = found[1]
+            if core not in cache:
+                words.append(core)
+            if len(core) < len(part):
+                marked.append((part, core, found))
+        if words:
+            words = list(dict.fromkeys(words))
+            cache.update(zip(words, self._words(words)))
+        for part, core, found in marked:
+            cache[part] = cache[core] + (self._rest(found) if found else self.tails.get(marks := part[len(core) :]) or self._tail(marks))
+        out = list(map(cache.get, parts))
         for at, ids in zip(rest, self._encode([" " + parts[at] for at in rest])):
             out[at] = ids
-            if len(parts[at]) <= LONGEST_CACHED:
+            if len(parts[at]) <= LONGEST_CACHED and not _open(parts[at]):
                 cache[parts[at]] = ids
         return out
 
+    def _joined(self, parts: list[str], cut: bool) -> bytes | None:
+        """The ids of a text cut before spaces. cut: at those that part it; else at all, and None if one of them doesn't."""
+        head, parts[0] = parts[0], ""
+        if not cut and head and len(parts) > 1 and _open(head):
+            return None
+        known = list(map(self.cache.get, parts))
+        known[0] = self._head(head) if head else b""
+        if None in known:
+            new = [i for i, x in enumerate(known) if x is None]
+            # The cache has no part that is empty or ends with one of UNSURE, so such are among the new ones.
+            found = self._learn([parts[i] for i in new], 0 if cut else len(new) - (new[-1] == len(parts) - 1))
+            if found is None:
+                return None
+            for i, ids in zip(new, found):
+                known[i] = ids
+        return b"".join(known)
+
     def ids(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
             if len(self.cache) + len(self.heads) + len(self.tails) > MOST_CACHED:
                 self.forget()
-            double = any(x in text for x in _ASCII_DOUBLE) or not text.isascii() and _DOUBLE.search(text)
-            parts = _CUT.split(text) if double else text.split(" ")
-            head, parts[0] = parts[0], ""
-            known = list(map(self.cache.get, parts))
-            known[0] = self._head(head) if head else b""
-            if None in known:
-                new = [i for i, x in enumerate(known) if x is None]
-                for i, ids in zip(new, self._learn([parts[i] for i in new])):
-                    known[i] = ids
-            out.append(b"".join(known))
+            ids = self._joined(text.split(" "), False)
+            out.append(self._joined(_CUT.split(text), True) if ids is None else ids)
         return out
