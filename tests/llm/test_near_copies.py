@@ -235,3 +235,54 @@ def test_odd_names_and_repeated_rows_against_sql(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a line of some words\nb", 5), (2, "a line of some wordz", 6)], "doc_id bigint, text string, `a.b``c` int")
     assert line_dedup.drop_lines(docs).columns == docs.columns == ["doc_id", "text", "a.b`c"]
     assert sorted((x[0], x[1], x[2]) for x in line_dedup.drop_lines(docs).collect()) == [(1, "a line of some words\nb", 5), (2, "", 6)]
+
+
+def test_lines_and_the_index_meet_in_one_exchange(spark, monkeypatch):
+    plans = {}
+    stored = line_dedup.common.stored
+
+    def seen(df, name, *a):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name, *a)
+
+    monkeypatch.setattr(line_dedup.common, "stored", seen)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = fx.table(spark, [(1, "first line of some words", "en", "a"), (2, "first line of some wordz", "en", "b")])
+    assert line_dedup.near_lines(docs).count() == 1
+    assert plans["line-met"].count("Exchange hashpartitioning") == 1 and "Join" not in plans["line-met"]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") in (size, "1000")
+
+
+def test_lines_meet_the_least_of_the_index_wherever_batches_end():
+    import pyarrow as pa
+
+    r = random.Random(16)
+    for _ in range(300):
+        sketch = [r.choice([0, 1, -1, 255, (1 << 40) - 1]) for _ in range(12)]
+        rows = sorted({(2 * r.randint(-2, 2) + r.randint(0, 1), r.randint(-5, 5)) for _ in range(r.randint(1, 40))}, key=lambda x: (x[0], r.random()))
+        rows += rows[-1:]  # a line may come from two partitions
+        index = {k >> 1: sorted(i for key, i in rows if key == k) for k, _ in rows if not k & 1}
+        want = []
+        for key, i in rows:
+            if key & 1 and (ids := index.get(key >> 1)):
+                near = i != ids[0] and bin((sketch[i + 5] ^ sketch[ids[0] + 5]) & (1 << 64) - 1).count("1") <= 8
+                if near or ids[0] < ids[-1]:
+                    want.append((key >> 1, i, ids[0], near, ids[0] < ids[-1]))
+        table = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((k, i, sketch[i + 5]) for k, i in rows))], names=["key", "id", "sketch"])
+        step = r.choice([1, 2, 3, 7, 100])
+        batches = [table.slice(s, step) for s in range(0, len(rows), step)]
+        got = [tuple(x.values()) for b in line_dedup._meet(2)(iter([table.slice(0, 0), *batches])) for x in b.to_pylist()]
+        assert got == want
+
+
+def test_sketches_and_sums_of_any_characters():
+    r = random.Random(17)
+    lines = ["".join(r.choice("ab é日\U0001f600\ud800") for _ in range(n)) for n in (0, 1, 2, 0, 16, 40, 1, 0)]
+    got = line_dedup.pair_sketches(lines)
+    for line, x in zip(lines, got.tolist()):
+        flips = 0
+        for a, b in zip(line, line[1:]):
+            flips ^= 1 << ((ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA6B) >> 7 & 63)
+        assert x & (1 << 64) - 1 == flips
+    assert line_dedup.pair_sketches([]).tolist() == []
+    assert line_dedup._powers(3, 4).tolist() == [1, 3, 9, 27, 81]

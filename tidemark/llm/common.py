@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -65,6 +66,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs within sends narrow rows to Python in batches of so many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, DEFAULT_BATCH_ROWS)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def over_texts(f: Callable[[list], dict[str, list | pa.Array]], keep: list[str], schema: "str | StructType", text: str = "text"):
     """A function for mapInArrow: f takes a batch's texts (null: "") and returns further columns; keep passes through."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -3,7 +3,8 @@
 A line of length l may differ from another in threshold(l) edits (of the shorter line's length). It is split into one segment more
 than that, so that a line within the threshold holds at least one segment unchanged, and near its place. Shorter lines put their
 segments into an index by length, place and content; longer lines look up only the substrings that the edits before and after a
-segment leave room for. A 64-bit odd sketch of character pairs goes with each row: an edit changes four pairs at most, so lines whose
+segment leave room for. Both come from one pass over the texts and meet in one exchange, where a key's index rows stand before those
+that look it up. A 64-bit odd sketch of character pairs goes with each row: an edit changes four pairs at most, so lines whose
 sketches differ in more bits need no look, without loss. What remains is verified by banded bit-parallel edit distance.
 
 Links are transitive, so not all pairs on a segment are needed: each line that finds a segment is held against the least line of the
@@ -36,8 +37,8 @@ PAIRS_PER_EDIT = 4
 MOST_BROADCAST = 1_000_000
 #: Characters in a block, where a line counts LEAST_WEIGHT more than it has; lines that are held against one at once.
 BLOCK, LEAST_WEIGHT, STAR = 200_000, 64, 1024
-#: Characters whose segments are hashed at once; ids that a task remembers to send a line once.
-CHUNK, MOST_SEEN = 1 << 20, 1 << 20
+#: Characters whose segments are hashed at once; ids that a task remembers to send a line once; rows of keys in an Arrow batch.
+CHUNK, MOST_SEEN, KEY_ROWS = 1 << 20, 1 << 20, 100_000
 #: Stands for a null doc_id where rows are ordered and joined.
 NO_ID = -(1 << 63)
 
@@ -49,8 +50,31 @@ def threshold(length: int, edits: int = MOST_EDITS) -> int:
     return min(edits, length // CHARS_PER_EDIT)
 
 
+_BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
+#: What stands for a character of the basic plane in sums.
+_POINT = mixed(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1 << 32))
+_made: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
+    """The powers 0 to n of a number; those that a chunk needs are made once."""
+    if n >= len(_made.get(base, ())):
+        made = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, CHUNK), base, np.uint64))])
+        if n > 2 * CHUNK:
+            return made[: n + 1]
+        _made[base] = made
+    return _made[base][: n + 1]
+
+
+def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' lengths and their code points, one after the other."""
+    return np.fromiter(map(len, lines), np.int64, len(lines)), np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _sums(points: np.ndarray) -> np.ndarray:
+    """Running sums of which any substring's hash is a difference."""
+    each = _POINT[points] if not len(points) or points.max() < len(_POINT) else mixed(points + np.uint64(1 << 32))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * _powers(_BASE, len(points))[:-1])])
 
 
 def segment_keys(lines: list[str], edits: int = MOST_EDITS, index: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -59,10 +83,12 @@ def segment_keys(lines: list[str], edits: int = MOST_EDITS, index: bool = False)
     index: a line's own segments, under which lines that are as long or longer find it. Else the substrings that may be a segment of
     a line that is as long or shorter. Substrings are hashed by differences of running sums, so each costs the same at any length.
     """
-    n = np.fromiter(map(len, lines), np.int64, len(lines))
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    first, back = np.cumsum(n) - n, _powers(_BACK, len(points))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(points + np.uint64(1 << 32)) * _powers(_BASE, len(points))[:-1])])
+    n, points = _points(lines)
+    return _segments(n, _sums(points), edits, index)
+
+
+def _segments(n: np.ndarray, sums: np.ndarray, edits: int, index: bool) -> tuple[np.ndarray, np.ndarray]:
+    first, back = np.cumsum(n) - n, _powers(_BACK, len(sums) - 1)
     keys, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for more in range(1 if index else edits + 1):
         shorter = n - more
@@ -100,12 +126,17 @@ def line_hash(line: str) -> bytes:
 
 def pair_sketches(lines: list[str]) -> np.ndarray:
     """For each line 64 bits, of which each pair of neighbouring characters flips one."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    of = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-    bit = (points[:-1] * np.uint64(0x9E3779B1) + points[1:] * np.uint64(0x85EBCA6B)) >> np.uint64(7) & np.uint64(63)
-    same = of[:-1] == of[1:]
-    counts = np.bincount(of[:-1][same] * 64 + bit[same].astype(np.int64), minlength=64 * len(lines))
-    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
+    return _sketches(*_points(lines))
+
+
+def _sketches(n: np.ndarray, points: np.ndarray) -> np.ndarray:
+    low = points.astype(np.uint16)  # the bits that are read depend on no others
+    bit = (low[:-1] * np.uint16(0x79B1) + low[1:] * np.uint16(0xCA6B)) >> np.uint16(7) & np.uint16(63)
+    flips = np.zeros(len(points) + 1, np.uint64)
+    flips[: len(bit)] = _BIT[bit]
+    ends = np.cumsum(n)
+    flips[ends[n > 0] - 1] = 0  # a line's last character has no neighbour
+    return np.where(n > 0, np.bitwise_xor.reduceat(flips, ends - n), np.uint64(0)).view("<i8")
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -158,12 +189,17 @@ def _long_lines(texts: list[str | None]) -> Iterator[str]:
                 yield line
 
 
-def _keyed(docs: DataFrame, edits: int, index: bool) -> DataFrame:
-    """key, id and sketch of the lines of docs(text); a line that recurs in a partition is sent once, as a rule."""
+def _keyed(docs: DataFrame, edits: int) -> DataFrame:
+    """key, id and sketch of the lines of docs(text); a line that recurs in a partition is sent once, as a rule.
+
+    The key's last bit is 0 for the index, 1 for a line that looks it up; the other 63 are the segment's.
+    """
 
     def rows(lines: dict[int, str]) -> pa.RecordBatch:
-        key, of = segment_keys(list(lines.values()), edits, index)
-        ids, sketches = np.array(list(lines), np.int64), pair_sketches(list(lines.values()))
+        n, points = _points(list(lines.values()))
+        sums, ids, sketches = _sums(points), np.array(list(lines), np.int64), _sketches(n, points)
+        found = [_segments(n, sums, edits, index) for index in (True, False)]
+        key, of = np.concatenate([key & -2 | probe for probe, (key, _) in enumerate(found)]), np.concatenate([of for _, of in found])
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, ids[of], sketches[of])], names=["key", "id", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +222,44 @@ def _keyed(docs: DataFrame, edits: int, index: bool) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key bigint, id bigint, sketch bigint")
 
 
+def _meet(edits: int):
+    """For rows of _keyed() in the order of their keys: the least line of the index under each key, for those that look it up.
+
+    near: the sketches allow a link with it. many: the index has others there. Rows with neither are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # segment, least id, its sketch and largest id of the index rows of the segment that the last batch ended with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, ids, sketch = (batch.column(c).to_numpy() for c in ("key", "id", "sketch"))
+            segment, probe = key >> 1, (key & 1).astype(bool)
+            edge = np.concatenate([[True], segment[1:] != segment[:-1]])
+            starts, of = np.flatnonzero(edge), np.cumsum(edge) - 1
+            lead = np.minimum.reduceat(np.where(probe, np.iinfo(np.int64).max, ids), starts)
+            last = np.maximum.reduceat(np.where(probe, np.iinfo(np.int64).min, ids), starts)
+            there = ~probe[starts]  # index rows stand first
+            x = np.zeros(len(starts), np.int64)
+            least = np.flatnonzero(~probe & (ids == lead[of]))
+            x[of[least]] = sketch[least]
+            if held and held[0] == segment[0]:
+                if held[1] <= lead[0]:
+                    lead[0], x[0] = held[1:3]
+                last[0], there[0] = max(held[3], last[0]), True
+            held = (segment[-1], lead[-1], x[-1], last[-1]) if there[-1] else None
+            at = np.flatnonzero(probe & there[of])
+            of = of[at]
+            near = (np.bitwise_count((sketch[at] ^ x[of]).view(np.uint64)) <= PAIRS_PER_EDIT * edits) & (ids[at] != lead[of])
+            many = lead[of] < last[of]
+            kept = near | many
+            if kept.any():
+                at, of = at[kept], of[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (segment[at], ids[at], lead[of], near[kept], many[kept])], names=["key", "id", "lead", "near", "many"])
+
+    return run
+
+
 def _line_links(edits: int):
     def link(table: pa.Table) -> tuple[pa.Array, pa.Array]:
         """Links that join components among a group's lines, verified by their edit distance; the nearest sketches first."""
@@ -218,11 +292,9 @@ def near_lines(docs: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
         raise ValueError(f"at least one edit is allowed, not {edits}")
     spark = common.session(docs)
     common.small_batches(spark)
-    index = _keyed(docs, edits, True).groupBy("key").agg(F.min("id").alias("lead"), F.min_by("sketch", "id").alias("x"), F.max("id").alias("last"))
-    probe = _keyed(docs, edits, False)
-    near = (F.bit_count(F.col("sketch").bitwiseXOR(F.col("x"))) <= PAIRS_PER_EDIT * edits) & (F.col("id") != F.col("lead"))
-    many = F.col("lead") < F.col("last")
-    met = common.stored(probe.join(index, "key").filter(near | many).select("key", "id", "lead", near.alias("near"), many.alias("many")), "line-met")
+    rows = _keyed(docs, edits).repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    with common.batches_of(spark, KEY_ROWS):
+        met = common.stored(rows.mapInArrow(_meet(edits), "key bigint, id bigint, lead bigint, near boolean, many boolean"), "line-met")
     pairs = met.filter("near").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
     members = met.filter("many").select("key", "id").distinct()
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select("id"))
