@@ -38,7 +38,7 @@ MOST_BROADCAST = 1_000_000
 #: Characters in a block, where a line counts LEAST_WEIGHT more than it has; lines that are held against one at once.
 BLOCK, LEAST_WEIGHT, STAR = 200_000, 64, 1024
 #: Characters whose segments are hashed at once; ids that a task remembers to send a line once; rows of keys in an Arrow batch.
-CHUNK, MOST_SEEN, KEY_ROWS = 1 << 20, 1 << 20, 100_000
+CHUNK, MOST_SEEN, KEY_ROWS = 1 << 18, 1 << 20, 100_000
 #: Stands for a null doc_id where rows are ordered and joined.
 NO_ID = -(1 << 63)
 
@@ -74,7 +74,10 @@ def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _sums(points: np.ndarray) -> np.ndarray:
     """Running sums of which any substring's hash is a difference."""
     each = _POINT[points] if not len(points) or points.max() < len(_POINT) else mixed(points + np.uint64(1 << 32))
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * _powers(_BASE, len(points))[:-1])])
+    each *= _powers(_BASE, len(points))[:-1]
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(each, out=sums[1:])
+    return sums
 
 
 def segment_keys(lines: list[str], edits: int = MOST_EDITS, index: bool = False) -> tuple[np.ndarray, np.ndarray]:
