@@ -97,6 +97,23 @@ def test_replay_counts():
     assert last(step, late)[0].expired == 1
 
 
+def test_replay_emits_one_row_a_key_from_unmerged_partitions(spark):
+    class Marked(K.EwMean):
+        def step(self, state, row):
+            if row.x < 0:
+                raise Reject("negative")
+            return super().step(state, row)
+
+    rows = spark.range(25_000).select(F.floor(F.col("id") % 7 / 3).alias("user_id"), F.col("id").alias("seq"), F.when(F.col("id") > 24_980, -1.0).otherwise(F.col("id") % 11).cast("double").alias("v"))
+    rows = rows.unionByName(spark.range(3).select(F.lit(9).cast("bigint").alias("user_id"), F.col("id").alias("seq"), F.lit(-1.0).alias("v")))
+    more = {"x": F.col("v")}
+    each, end = (run_batch(rows, Marked(0.3), ["user_id"], ["seq"], more, final) for final in (False, True))
+    top = each.groupBy("user_id").agg(F.max_by(F.struct("seq", "ew"), "seq").alias("r")).select("user_id", "r.seq", "r.ew")
+    assert sorted(end.collect()) == sorted(top.collect()) and end.count() == 3
+    plan = queries.QUERIES["b17_replay"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
 def test_quantile_markers_come_near_the_exact_ones():
     r = np.random.default_rng(1)
     xs = r.normal(size=4000)

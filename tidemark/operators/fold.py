@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import copy
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any, Protocol
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import StructType
 
 
@@ -63,32 +63,65 @@ def _framed(rows: pd.DataFrame, out: list[tuple], kept: list[str], made: list[st
     return pd.concat([left, right], axis=1)
 
 
-def run_batch(df: DataFrame, step: Step, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """keys, order and the step's output for each row that it doesn't reject."""
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a key in one of as many partitions as spark.sql.shuffle.partitions says.
+
+    Without the number Spark merges partitions by their compressed bytes, which tell neither what a sort takes nor what a step costs.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def run_batch(df: DataFrame, step: Step, keys: Sequence[str], order: Sequence[str], more: Mapping[str, Column] | None = None, final: bool = False) -> DataFrame:
+    """keys, order and the step's output for each row that it doesn't reject, or (final) for the last such row of each key.
+
+    more: further columns for the step, added after the sort so that they are neither exchanged nor sorted. A window over the same keys
+    before the fold leaves its own exchange, and Spark drops the fold's: its input should be dealt too.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema, made = _schemas(df, step, keys, order)
     arrow = to_arrow_schema(schema)
     kept = schema.names[: len(schema) - len(made)]
 
+    def framed(rows: list[pa.Array], out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out) if out else [[]] * len(made)
+        rows = rows + [pa.array(list(c), arrow.field(n).type, from_pandas=True) for n, c in zip(made, columns)]
+        return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(rows, arrow)], schema=arrow)
+
+    def picked(batch: pa.RecordBatch, at: list[int]) -> list[pa.Array]:
+        return [batch.column(k).take(pa.array(at, pa.int64())) for k in kept]
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = state = None
+        key = state = held = place = None  # final: the key's output so far, and its row in the batch, or None where that lies in held_row
+        held_row: list[pa.Array] = []
         for batch in batches:
-            at, out = [], []
+            at, out, first = [], [], None
             of = zip(*(batch.column(k).to_pylist() for k in keys))
             for i, (own, row) in enumerate(zip(of, batch.to_pandas().itertuples(index=False))):
                 if state is None or own != key:
-                    key, state = own, step.init()
+                    if held is not None:
+                        out.append(held)
+                        if place is None:
+                            first = held_row
+                        else:
+                            at.append(place)
+                    key, state, held = own, step.init(), None
                 state, got = _taken(step, state, row)
-                if got is not None:
+                if got is not None and final:
+                    held, place = got, i
+                elif got is not None:
                     at.append(i)
                     out.append(got)
-            rows = [batch.column(k).take(pa.array(at, pa.int64())) for k in kept]
-            columns = zip(*out) if out else [[]] * len(made)
-            rows += [pa.array(list(c), arrow.field(n).type, from_pandas=True) for n, c in zip(made, columns)]
-            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(rows, arrow)], schema=arrow)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(fold, schema)
+            rows = picked(batch, at)
+            if first is not None:
+                rows = [pa.concat_arrays(x) for x in zip(first, rows)]
+            if held is not None and place is not None:
+                held_row, place = picked(batch, [place]), None
+            yield framed(rows, out)
+        if held is not None:
+            yield framed(held_row, [held])
+
+    return dealt(df, keys).sortWithinPartitions(*keys, *order).withColumns(dict(more or {})).mapInArrow(fold, schema)
 
 
 def run_stream(df: DataFrame, step: Step, keys: Sequence[str], order: Sequence[str], late: str = "reject") -> DataFrame:

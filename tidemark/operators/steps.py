@@ -449,7 +449,7 @@ class Replay:
 
     def init(self):
         return State(
-            model=self.bandit.init(), generation=0, pending={}, done=set(), latencies=[], reward=0.0, regret=0.0, baseline=0.0, pulls=[0] * self.bandit.arms,
+            model=self.bandit.init(), generation=0, pending={}, done=set(), latencies=[], waited=0, reward=0.0, regret=0.0, baseline=0.0, pulls=[0] * self.bandit.arms,
             expired=0, missing=0, duplicate=0, rejected=0, generations=0, drifts=0, digest=0xCBF29CE484222325,
         )
 
@@ -499,7 +499,9 @@ class Replay:
         s.baseline += 0.0 if missing(row.baseline_reward) else row.baseline_reward
         s.regret += 0.0 if missing(row.optimal_reward) else max(0.0, row.optimal_reward - row.reward)
         s.pulls[arm] += 1
-        bisect.insort(s.latencies, int(row.outcome_time) - int(row.timestamp))
+        waited = int(row.outcome_time) - int(row.timestamp)
+        bisect.insort(s.latencies, waited)
+        s.waited += waited
         self._mix(s, row, b"o")
         return True
 
@@ -508,7 +510,7 @@ class Replay:
         lag = s.latencies
         return (
             s.reward, s.regret, s.baseline, list(s.pulls), len(s.pending), len(s.done), s.expired, s.missing, s.duplicate, s.rejected, s.generations, s.drifts,
-            sum(lag) / len(lag) if lag else None, lag[-((len(lag) - 1) * -95 // 100)] if lag else None, f"{s.digest:016x}",
+            s.waited / len(lag) if lag else None, lag[-((len(lag) - 1) * -95 // 100)] if lag else None, f"{s.digest:016x}",
         )
 
 

@@ -17,7 +17,7 @@ from .operators import features as P
 from .operators import models as M
 from .operators import stats as S
 from .operators import steps as K
-from .operators.fold import run_batch
+from .operators.fold import dealt, run_batch
 from .plans.frames import last, prior, upto
 from .sources import snapshots as N
 from .streaming import streams
@@ -628,21 +628,19 @@ add("b16_delayed_feedback", credited, _OUT + ", c AS (SELECT s.*, h / 24 AS c0,
 
 
 def replay_events(s: DataFrame) -> DataFrame:
-    """Decision and outcome rows of each user's log, with their place in it."""
-    nxt = F.lead("seq").over(_line())
-    rec = s.select(
-        "user_id", F.col("seq").alias("timestamp"), F.col("seq").alias("decision_id"), F.array(F.col("h") / 24, F.col("k") / 100).alias("context"), F.lit(0).alias("selected_arm"), nxt.alias("outcome_time"),
-        "reward", F.lit(0).alias("generation"), F.lit("").alias("schema_hash"), F.lit(0.2).alias("baseline_reward"), F.lit(1.0).alias("optimal_reward"), (F.col("seq") % 40 == 0).alias("drift"),
-    )
-    both = rec.withColumns({"kind": F.lit(0), "at": F.col("timestamp")}).unionByName(rec.filter("outcome_time IS NOT NULL").withColumns({"kind": F.lit(1), "at": F.col("outcome_time")}))
-    return both.withColumn("index", F.col("timestamp"))
+    """Decision and outcome rows of each user's log, with their place in it and what differs from row to row."""
+    rec = dealt(s.select("user_id", "seq", "h", "k", "reward"), KEYS).select("user_id", F.col("seq").alias("timestamp"), "h", "k", F.lead("seq").over(_line()).alias("outcome_time"), "reward")
+    both = rec.withColumn("kind", F.explode(F.when(F.col("outcome_time").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    return both.withColumns({"at": F.when(F.col("kind") == 0, F.col("timestamp")).otherwise(F.col("outcome_time")), "index": F.col("timestamp")})
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = run_batch(replay_events(stream(spark, sf_dir)), K.Replay(K.LinUcb(1, 2), 150), KEYS, ["at", "kind", "index"])
-    end = F.struct("at", "kind", "index")
-    last_ = out.groupBy("user_id").agg(F.max_by(F.struct("reward", "regret", "baseline", "pulls", "pending", "completed", "expired", "missing", "duplicate", "rejected", "generations", "drifts", "latency_mean", "latency_p95", "digest"), end).alias("r"))
-    return last_.select("user_id", *(r(f"r.{c}", 6).alias(c) for c in ("reward", "regret", "baseline")), "r.pending", "r.completed", "r.expired", "r.missing", "r.duplicate", "r.rejected", "r.drifts", r("r.latency_mean").alias("latency_mean"), "r.latency_p95", "r.digest")
+    record = {
+        "decision_id": F.col("timestamp"), "context": F.array(F.col("h") / 24, F.col("k") / 100), "selected_arm": F.lit(0), "generation": F.lit(0), "schema_hash": F.lit(""),
+        "baseline_reward": F.lit(0.2), "optimal_reward": F.lit(1.0), "drift": F.col("timestamp") % 40 == 0,
+    }
+    end = run_batch(replay_events(stream(spark, sf_dir)), K.Replay(K.LinUcb(1, 2), 150), KEYS, ["at", "kind", "index"], record, final=True)
+    return end.select("user_id", *(r(c, 6).alias(c) for c in ("reward", "regret", "baseline")), "pending", "completed", "expired", "missing", "duplicate", "rejected", "drifts", r("latency_mean").alias("latency_mean"), "latency_p95", "digest")
 
 
 add("b17_replay", replay)
