@@ -216,6 +216,12 @@ def test_queries_against_sql(spark, name):
     assert sorted(repr([plain(r[n]) for n in order]) for r in got.collect()) == sorted(repr([plain(r[names.index(n)]) for n in order]) for r in sql.fetchall())
 
 
+def test_replay_report_sorts_no_outputs_and_equals_sql(spark):
+    plan = queries.QUERIES["b18_replay_report"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("MapInArrow")[0] and plan.count("Sort [") == 2 and plan.count("MapInArrow") == 1
+    test_queries_against_sql(spark, "b18_replay_report")
+
+
 def test_snapshots_and_schemas(spark):
     from tidemark.sources import snapshots as N
 
